@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .prefix import BLOCK, counts_at, running
 
 DAY = 86_400
@@ -123,10 +124,11 @@ def file_history(facts: DataFrame, touches: DataFrame, reads: DataFrame, width:
     work grows with the postings of the sets and never with pairs of commits.
     """
     events = touches.join(facts.select("idx", "author_id", "landed", "fix_like"), "idx")
-    per_position = events.groupBy("lineage", "idx").agg(
+    # Both intermediate tables feed several branches below, so each is written once.
+    per_position = checkpointed(events.groupBy("lineage", "idx").agg(
         F.count(F.lit(1)).alias("n"), F.max("landed").alias("landed"),
         F.max("author_id").alias("author_id"), F.bool_or("fix_like").alias("fix_like"),
-    )
+    ))
     # Touches so far and last landing of every read lineage, before the reading position.
     own = (
         per_position.select("lineage", "idx", "n", "landed")
@@ -147,7 +149,7 @@ def file_history(facts: DataFrame, touches: DataFrame, reads: DataFrame, width:
         # A commit's own files: as many as it changed, never a whole key of the table.
         F.array_sort(F.collect_set("lineage")).alias("_members"),
     )
-    named = simple.withColumn("group", F.sha2(F.to_json("_members"), 256))
+    named = checkpointed(simple.withColumn("group", F.sha2(F.to_json("_members"), 256)))
     members = named.groupBy("group").agg(F.any_value("_members").alias("_members")).select(
         "group", F.explode("_members").alias("lineage")
     )

@@ -8,20 +8,11 @@ from ..operators import history as H
 from ..operators import labels as L
 from ..operators import splits as S
 from ..operators.prefix import dense_index
+from .registering import Collector
 from .views import commits, cte, facts, table, view, with_areas
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name, oracle=None):
-    def add(function):
-        QUERIES[name] = function
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return function
-    return add
-
+query = Collector()
+QUERIES, ORACLES = query.queries, query.oracles
 
 DAY, YEAR, WEEK = 86400, 365 * 86400, 7 * 86400
 

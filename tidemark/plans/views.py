@@ -75,6 +75,18 @@ SQL = {
         FROM pages""",
 }
 
+PATCH_PATH = """CASE doc_id % 6 WHEN 0 THEN 'a/x.py' WHEN 1 THEN 'b/x.c' WHEN 2 THEN 'README.md' WHEN 3 THEN 'notes.txt'
+        WHEN 4 THEN 'conf/x.c.j2' ELSE 'src/Makefile' END"""
+# One patch text per document; the oracle builds its lines directly.
+SPARK_PATCHES = f"""SELECT doc_id AS sha, {PATCH_PATH} AS path, array_join(transform(l, (x, i) -> CASE i % 9 WHEN 0 THEN concat('@@ -', i + 1, ',3 +', i + 2, ' @@ fn') WHEN 1 THEN concat('-', x)
+            WHEN 2 THEN concat('-# ', x) WHEN 3 THEN '-' WHEN 4 THEN concat('+ ', replace(l[i - 3], ' ', '  '), ' ') WHEN 5 THEN concat('+# ', x)
+            WHEN 6 THEN '+' WHEN 7 THEN concat(' ', x) ELSE concat('+', x) END), chr(10)) AS patch
+    FROM (SELECT doc_id, split(text, chr(10)) AS l FROM documents)"""
+DUCK_PATCHES = f"""SELECT doc_id AS sha, {PATCH_PATH} AS path, i - 1 AS pos, CASE (i - 1) % 9 WHEN 0 THEN concat('@@ -', (i - 1) + 1, ',3 +', (i - 1) + 2, ' @@ fn') WHEN 1 THEN concat('-', l[i])
+            WHEN 2 THEN concat('-# ', l[i]) WHEN 3 THEN '-' WHEN 4 THEN concat('+ ', replace(l[i - 3], ' ', '  '), ' ') WHEN 5 THEN concat('+# ', l[i])
+            WHEN 6 THEN '+' WHEN 7 THEN concat(' ', l[i]) ELSE concat('+', l[i]) END AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i)"""
+
 NEEDS = {"line_origin": ("line_grid",)}
 
 SPARK_GRID = """SELECT sha, path, CAST(line AS BIGINT) AS line FROM
@@ -99,7 +111,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame; only the tables its text names are read."""
-    text = SPARK_GRID if name == "line_grid" else SQL[name]
+    text = {"line_grid": SPARK_GRID, "patches": SPARK_PATCHES}.get(name) or SQL[name]
     text = text.replace("{DAY}", SPARK_DAY).replace("{EPOCH}", SPARK_EPOCH)
     frames = {}
     for source in (*NEEDS.get(name, ()), *TABLES):
@@ -144,7 +156,7 @@ def cte(*names: str) -> str:
             wanted += [item for item in DUCK_ORDER[: DUCK_ORDER.index(name) + 1] if item not in wanted]
         else:
             wanted += [item for item in (*NEEDS.get(name, ()), name) if item not in wanted]
-    texts = {"commits": DUCK_COMMITS, "facts": DUCK_FACTS, "line_grid": DUCK_GRID}
+    texts = {"commits": DUCK_COMMITS, "facts": DUCK_FACTS, "line_grid": DUCK_GRID, "patches": DUCK_PATCHES}
     parts = [f"{name} AS ({texts.get(name) or SQL[name]})".replace("{DAY}", DUCK_DAY).replace("{EPOCH}", DUCK_EPOCH)
              for name in wanted]
     return "WITH " + ",\n".join(parts)
