@@ -77,25 +77,24 @@ def file_entities(tree: DataFrame, pattern: str) -> DataFrame:
     )
 
 
-def resolve_links(links: DataFrame, files: DataFrame, scope: Sequence[str] = (), max_hops: int = MAX_LINK_HOPS) -> DataFrame:
-    """The path each link finally lands on, or null when it dangles, loops or is too long.
+def resolve_links(links: DataFrame, scope: Sequence[str] = (), max_hops: int = MAX_LINK_HOPS) -> DataFrame:
+    """The path each link finally lands on, which may be a directory or gone; null for loops and long chains.
 
-    ``links(scope.., path, target)`` hold link texts, ``files(scope.., path)`` the paths that are no links.
-    One self-join per hop, bounded by ``max_hops``; a loop never leaves the set of links, so it simply
-    ends without a file. A target above the root is an error.
+    ``links(scope.., path, target)`` hold link texts. One self-join per hop, bounded by ``max_hops``: a path
+    that is still a link afterwards loops or is too long. A target above the root is an error.
     """
     where = join_relative(F.col("path"), F.col("target"))
     above = where.startswith("../") | (where == "..") | F.col("target").startswith("/")
-    steps = links.select(
+    steps = checkpointed(links.select(
         *scope, "path", F.when(above, F.raise_error(F.concat(F.lit("link leaves the tree: "), "path"))).otherwise(where).alias("to")
-    )
+    ))
     keys = [*scope, "at"]
-    hop = steps.withColumnRenamed("path", "at").withColumnRenamed("to", "next")
+    hop = steps.select(*scope, F.col("path").alias("at"), F.col("to").alias("next"))
     going = steps.select(*scope, "path", F.col("to").alias("at"))
     for _ in range(max_hops - 1):
         going = going.join(hop, keys, "left").select(*scope, "path", F.coalesce("next", "at").alias("at"))
-    landed = files.select(*scope, F.col("path").alias("at")).distinct().withColumn("_file", F.lit(True))
-    return going.join(landed, keys, "left").select(*scope, "path", F.when(F.col("_file"), F.col("at")).alias("resolved"))
+    still = hop.select(*keys).withColumn("_link", F.lit(True))
+    return going.join(still, keys, "left").select(*scope, "path", F.when(F.col("_link").isNull(), F.col("at")).alias("resolved"))
 
 
 def alias_entities(links: DataFrame, entities: DataFrame) -> DataFrame:
@@ -111,31 +110,40 @@ def alias_entities(links: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def climb(paths: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """(scope.., path, up): every distinct path with itself and its directories."""
-    return paths.select(*scope, "path").distinct().select(*scope, "path", F.explode(ancestors(F.col("path"))).alias("up"))
+def climb(paths: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep.., path, up): every distinct path with itself and its directories."""
+    return paths.select(*keep, "path").distinct().select(*keep, "path", F.explode(ancestors(F.col("path"))).alias("up"))
+
 
+def owning(paths: DataFrame, entities: DataFrame, keep: Sequence[str] = (), scope: Sequence[str] = ()) -> DataFrame:
+    """(keep.., path, id) of entities whose directory is the path or contains it: an equi-join.
 
-def owning(paths: DataFrame, entities: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """(scope.., path, id) of entities whose directory is the path or contains it: an equi-join."""
-    return climb(paths, scope).join(entities.select(*scope, F.col("directory").alias("up"), "id"), [*scope, "up"]).drop("up")
+    ``keep`` columns come along from the paths; ``scope`` columns stand on both sides and must agree.
+    """
+    roots = entities.select(*scope, F.col("directory").alias("up"), "id")
+    return climb(paths, [*scope, *keep]).join(roots, [*scope, "up"]).drop("up")
 
 
-def reaching(paths: DataFrame, links: DataFrame, entities: DataFrame, scope: Sequence[str] = (), depth: int = 3) -> DataFrame:
-    """(scope.., path, id) of entities that own a link landing on the path or on a directory above it."""
+def reaching(
+    paths: DataFrame, links: DataFrame, entities: DataFrame, keep: Sequence[str] = (), scope: Sequence[str] = (), depth: int = 3
+) -> DataFrame:
+    """(keep.., path, id) of entities that own a link landing on the path or on a directory above it."""
     owners = links.filter("resolved is not null").select(
         *scope, F.col("resolved").alias("up"), F.array_join(F.slice(F.split("path", "/"), 1, depth), "/").alias("directory")
     ).distinct().join(entities.select(*scope, "directory", "id"), [*scope, "directory"])
-    # The same directory may hold many links to one place, so owners are made distinct before the join.
-    return climb(paths, scope).join(owners.select(*scope, "up", "id").distinct(), [*scope, "up"]).drop("up").distinct()
+    # A directory may hold many links to one place, so owners are made distinct before the join.
+    targets = owners.select(*scope, "up", "id").distinct()
+    return climb(paths, [*scope, *keep]).join(targets, [*scope, "up"]).drop("up").distinct()
 
 
-def linking_into(paths: DataFrame, shared: DataFrame, declarations: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """(scope.., path, id) of entities whose declaration resolves into the shared directory that holds the path."""
+def linking_into(
+    paths: DataFrame, shared: DataFrame, declarations: DataFrame, keep: Sequence[str] = (), scope: Sequence[str] = ()
+) -> DataFrame:
+    """(keep.., path, id) of entities whose declaration resolves into the shared directory that holds the path."""
     within = declarations.select(*scope, "id", F.explode(ancestors(F.col("resolved"), proper=True)).alias("directory")).join(
         shared.select(*scope, "directory"), [*scope, "directory"]
     )
-    return climb(paths, scope).withColumnRenamed("up", "directory").join(within, [*scope, "directory"]).drop("directory").distinct()
+    return climb(paths, [*scope, *keep]).withColumnRenamed("up", "directory").join(within, [*scope, "directory"]).drop("directory").distinct()
 
 
 def affected(*reached: DataFrame) -> DataFrame:
@@ -158,10 +166,10 @@ def built_families(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return built, aliases
 
 
-def coverage(wanted: DataFrame, entities: DataFrame, groups: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def coverage(wanted: DataFrame, entities: DataFrame, groups: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Status and architecture answer of every wanted entity: covered, ambiguous or uncovered.
 
-    ``wanted(scope.., id)``, ``entities(id, families, arch)``. Entities missing from the index are
+    ``wanted(keep.., id)``, ``entities(id, families, arch)``. Entities missing from the index are
     uncovered and unknown. One status column makes the three sets disjoint and exhaustive.
     """
     built, aliases = built_families(groups)
@@ -172,7 +180,7 @@ def coverage(wanted: DataFrame, entities: DataFrame, groups: DataFrame, scope: S
         groups.select(F.col("family"), F.col("arch"), F.col("name").alias("job_group")).distinct(), ["family", "arch"]
     ).groupBy("id").agg(F.array_sort(F.collect_set("job_group")).alias("job_groups"))
     known = entities.select("id", "arch", "families").withColumn("_known", F.lit(True))
-    row = wanted.select(*scope, "id").distinct().join(known, "id", "left").join(hits, "id", "left").join(maybe, "id", "left").join(
+    row = wanted.select(*keep, "id").distinct().join(known, "id", "left").join(hits, "id", "left").join(maybe, "id", "left").join(
         decided, "id", "left"
     )
     status = F.when(F.col("_built"), "covered").when(F.col("_maybe"), "ambiguous").otherwise("uncovered")
@@ -181,7 +189,7 @@ def coverage(wanted: DataFrame, entities: DataFrame, groups: DataFrame, scope: S
         F.when(F.size("job_groups") > 0, "covered").when(F.coalesce("arch", F.lit("")) != "", "uncovered").otherwise("undetermined"),
     )
     return row.select(
-        *scope, "id", status.alias("status"), resolution.alias("resolution"),
+        *keep, "id", status.alias("status"), resolution.alias("resolution"),
         F.when(status == "ambiguous", F.coalesce("job_groups", F.array().cast("array<string>"))).alias("job_groups"),
         (F.col("_known").isNull() | ((status == "uncovered") & (F.size("families") == 0))).alias("unknown"), "arch", "families",
     )
