@@ -189,8 +189,8 @@ def upper_median(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
     df, by = _keyed(df.filter(F.col(value).isNotNull()), keys)
     cells = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_in_order(cells, by, [F.asc(value)], {"_upto": F.col("_n")})
-    totals = cells.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    middle = ranked.join(totals, by).filter(F.col("_upto") > F.floor(F.col("_all") / 2))
+    totals = cells.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    middle = ranked.join(totals, by).filter(F.col("_upto") > F.floor(F.col("_size") / 2))
     return middle.groupBy(*by).agg(F.min(value).alias("median")).select(*keys, "median")
 
 

@@ -390,11 +390,11 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.round(logit(p), 6).alias("logit"), F.round(platt(p, 1.5, -0.25), 6).alias("calibrated"))
 
 
-@query("f24_content_hash", """SELECT c_custkey, sha256(concat('{"acctbal":"', c_acctbal, '","key":', c_custkey, ',"name":"', c_name, '"}')) AS sha FROM (SELECT c_custkey, c_name, CAST(CAST(c_acctbal * 100 AS BIGINT) AS VARCHAR) AS c_acctbal FROM customer)""")
+@query("f24_content_hash", """SELECT c_custkey, sha256(concat('{"acctbal":"', c_acctbal, '","key":', c_custkey, ',"name":"', c_name, '"}')) AS sha FROM (SELECT c_custkey, c_name, CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS VARCHAR) AS c_acctbal FROM customer)""")
 def _(spark, d):
     from ..sources.manifest import content_hash
 
-    rows = table(spark, d, "customer").selectExpr("c_custkey", "c_name AS name", "c_custkey AS key", "CAST(CAST(c_acctbal * 100 AS BIGINT) AS STRING) AS acctbal")
+    rows = table(spark, d, "customer").selectExpr("c_custkey", "c_name AS name", "c_custkey AS key", "CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS STRING) AS acctbal")
     return rows.select("c_custkey", content_hash(["name", "key", "acctbal"]).alias("sha"))
 
 
