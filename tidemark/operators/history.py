@@ -7,8 +7,6 @@ only once it landed. The inputs are tables: commits (``idx``, ``landed``, ``auth
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,37 +148,39 @@ def file_history(facts: DataFrame, touches: DataFrame, reads: DataFrame, width:
         F.array_sort(F.collect_set("lineage")).alias("_members"),
     )
     named = checkpointed(simple.withColumn("group", F.sha2(F.to_json("_members"), 256)))
-    members = named.groupBy("group").agg(F.any_value("_members").alias("_members")).select(
-        "group", F.explode("_members").alias("lineage")
-    )
-    marks = named.select("group", "idx").distinct()
-
-    def union_before(postings: DataFrame, flag: str, out: str) -> DataFrame:
-        """Distinct merged postings of each group that lie below each of its reading positions."""
-        both = (
-            postings.groupBy("group", "idx").agg(F.sum(flag).alias("n"))
-            .unionByName(marks.select("group", "idx", F.lit(0).cast("bigint").alias("n")))
-            .groupBy("group", "idx").agg(F.sum("n").alias("n"))
+    spans = named.groupBy("group").agg(
+        F.any_value("_members").alias("_members"), F.max("idx").alias("_last"), (F.count(F.lit(1)) == 1).alias("_once")
+    )
+    members = spans.select("group", "_last", "_once", F.explode("_members").alias("lineage"))
+    marks = named.select("group", "idx").join(spans.select("group", "_once"), "group")
+
+    def before(postings: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        """Sums of distinct merged postings below each reading position of their group.
+
+        Most groups are read once: their postings below that position simply add up. Only groups
+        read again need totals along the positions.
+        """
+        once = postings.filter("_once").groupBy("group").agg(*[F.sum(name).alias(name) for name in names])
+        again = (
+            postings.filter(~F.col("_once")).select("group", "idx", *names)
+            .unionByName(marks.filter(~F.col("_once")).select("group", "idx", *[F.lit(0).cast("bigint").alias(name) for name in names]))
+            .groupBy("group", "idx").agg(*[F.sum(name).alias(name) for name in names])
+        )
+        totals = running(again, ["group"], "idx", {f"_{name}": F.col(name) for name in names}, width=width)
+        return marks.filter("_once").join(once, "group", "left").select("group", "idx", *names).unionByName(
+            marks.filter(~F.col("_once")).join(totals, ["group", "idx"]).select("group", "idx", *[F.col(f"_{name}").alias(name) for name in names])
         )
-        total = running(both, ["group"], "idx", {out: F.col("n")}, width=width).select("group", "idx", out)
-        return total.join(marks, ["group", "idx"])
-
-    touched = members.join(per_position, "lineage")
-    commits_seen = touched.groupBy("group", "idx").agg(
-        F.lit(1).cast("bigint").alias("one"), F.max(F.col("fix_like").cast("bigint")).alias("fix")
-    )
-    debut = (
-        per_position.groupBy("lineage", "author_id").agg(F.min("idx").alias("idx"))
-        .join(members, "lineage").groupBy("group", "author_id").agg(F.min("idx").alias("idx"))
-        .withColumn("one", F.lit(1).cast("bigint"))
-    )
-    unions = reduce(
-        lambda left, right: left.join(right, ["group", "idx"]),
-        [
-            union_before(commits_seen, "one", "file_prior_changes"),
-            union_before(commits_seen, "fix", "file_prior_fix_touches"),
-            union_before(debut, "one", "file_prior_authors"),
-        ],
+
+    one = F.lit(1).cast("bigint")
+    seen = members.join(per_position, "lineage").filter(F.col("idx") < F.col("_last")).groupBy("group", "_once", "idx").agg(
+        one.alias("file_prior_changes"), F.max(F.col("fix_like").cast("bigint")).alias("file_prior_fix_touches")
+    )
+    debut = per_position.groupBy("lineage", "author_id").agg(F.min("idx").alias("idx"))
+    known = members.join(debut, "lineage").filter(F.col("idx") < F.col("_last")).groupBy("group", "_once", "author_id").agg(
+        F.min("idx").alias("idx"), one.alias("file_prior_authors")
+    )
+    unions = before(seen, ("file_prior_changes", "file_prior_fix_touches")).join(
+        before(known, ("file_prior_authors",)), ["group", "idx"]
     )
     features = named.join(unions, ["group", "idx"])
     zero: list[Column] = [

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .history import DAY
-from .prefix import dense_index
+from .prefix import dense_index, running
 
 # Fixed values.
 FRACTIONS = (0.70, 0.15, 0.15)
@@ -21,7 +21,7 @@ def resolve_prefixes(keys: DataFrame, key: str, prefixes: DataFrame, min_length:
     """Each prefix with the number of keys it starts and, if that is one, the key.
 
     An equi-join per prefix length: keys are cut to each length in use, so no pairwise
-    ``startswith`` is needed. ``prefixes(prefix)`` is a short user-given list.
+    ``startswith`` is needed and either side may be large.
     """
     wanted = prefixes.select("prefix", F.length("prefix").alias("_n")).distinct()
     usable = wanted.filter(F.col("_n") >= min_length)
@@ -31,7 +31,7 @@ def resolve_prefixes(keys: DataFrame, key: str, prefixes: DataFrame, min_length:
         .select("_key", F.explode("_lengths").alias("_n")).filter(F.length("_key") >= F.col("_n"))
         .select("_key", F.expr("left(_key, _n)").alias("prefix"))
     )
-    found = cut.join(F.broadcast(usable.select("prefix")), "prefix").groupBy("prefix").agg(
+    found = cut.join(usable.select("prefix"), "prefix").groupBy("prefix").agg(
         F.count(F.lit(1)).alias("matches"), F.min("_key").alias("_only")
     )
     return wanted.join(found, "prefix", "left").select(
@@ -45,14 +45,14 @@ def boundaries(
 ) -> DataFrame:
     """One row: validation_start, test_start and snapshot, as landing times.
 
-    A boundary is the landing time of the eligible row at floor(n * f). Eligible rows are ranked by
-    a distributed sort; only the three numbers of the answer come together in one row.
+    A boundary is the landing time of the eligible row at floor(n * f). Eligible rows are counted along
+    the landing order block by block; only the three numbers of the answer come together in one row.
     """
     snapshot = facts.agg(F.max("landed"))
     gap = gap_days * DAY
     open_rows = facts if held is None else facts.join(held.select("sha").distinct(), "sha", "left_anti")
     eligible = open_rows.filter(F.col("landed") <= snapshot.scalar() - gap).select("idx", "landed")
-    ranked = dense_index(eligible, ["idx"], out="_rank")
+    ranked = running(eligible, [], "idx", {"_rank": F.lit(1)})
     count = eligible.agg(F.count(F.lit(1))).scalar()
     first = F.floor(F.col("_count") * F.lit(fractions[0])).cast("bigint")
     second = F.floor(F.col("_count") * F.lit(fractions[0] + fractions[1])).cast("bigint")

@@ -349,13 +349,13 @@ def _(spark, d):
     return C.fidelity(model, seen, spark.createDataFrame([("B7",), ("B8",)], "name string"))
 
 
-@query("j28_local_patch_overlap", cte("changes") + """ SELECT sha, CAST(count(DISTINCT path) AS BIGINT) AS shared FROM changes
- WHERE sha % 2 = 1 AND path IN (SELECT path FROM changes WHERE sha % 10 = 0) GROUP BY sha""")
+@query("j28_local_patch_overlap", cte("commit_base", "changes") + """ SELECT sha, CAST(count(DISTINCT path) AS BIGINT) AS shared FROM changes JOIN commit_base USING (sha)
+ WHERE fix_like AND path IN (SELECT path FROM changes JOIN commit_base USING (sha) WHERE is_revert) GROUP BY sha""")
 def _(spark, d):
     from ..operators.backtest import patch_overlap
 
-    changes = view(spark, d, "changes")
-    return patch_overlap(changes.filter("sha % 2 = 1"), changes.filter("sha % 10 = 0"))
+    changes = view(spark, d, "changes").join(view(spark, d, "commit_base"), "sha")
+    return patch_overlap(changes.filter("fix_like"), changes.filter("is_revert"))
 
 
 @query("f15_extension", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN lang ELSE 'gz' END AS ext FROM documents""")

@@ -299,15 +299,15 @@ def _(spark, d):
     return related(spark, d, "p_retailprice < 1500", "l_quantity > 0")[0]
 
 
-@query("u01_related_groups_shared", RELATED.format(gf="p_retailprice > 0", cf="l_partkey % 40 IN (7, 8)") + " SELECT grp, rule, CAST(n AS BIGINT) AS n_changed FROM sel")
+@query("u01_related_groups_shared", RELATED.format(gf="p_retailprice > 0", cf="concat('p/', l_partkey % 40) IN ('p/7', 'p/8')") + " SELECT grp, rule, CAST(n AS BIGINT) AS n_changed FROM sel")
 def _(spark, d):
-    return related(spark, d, "p_retailprice > 0", "l_partkey % 40 IN (7, 8)")[0]
+    return related(spark, d, "p_retailprice > 0", "concat('p/', l_partkey % 40) IN ('p/7', 'p/8')")[0]
 
 
-@query("u02_paths_to_assess", RELATED.format(gf="p_retailprice > 0", cf="l_partkey % 40 IN (7, 8)") + """ SELECT DISTINCT repo, prefix FROM g JOIN sel USING (grp)
+@query("u02_paths_to_assess", RELATED.format(gf="p_retailprice > 0", cf="concat('p/', l_partkey % 40) IN ('p/7', 'p/8')") + """ SELECT DISTINCT repo, prefix FROM g JOIN sel USING (grp)
  WHERE NOT (repo = 'main' AND prefix IN (SELECT DISTINCT concat('p/', split_part(path, '/', 2)) FROM ch))""")
 def _(spark, d):
-    return related(spark, d, "p_retailprice > 0", "l_partkey % 40 IN (7, 8)")[1]
+    return related(spark, d, "p_retailprice > 0", "concat('p/', l_partkey % 40) IN ('p/7', 'p/8')")[1]
 
 
 @query("a36_closed_world", HEAD + STATUS + """ SELECT concat('platform:', id) AS id, 'platform' AS kind, 1::BIGINT AS members FROM status

@@ -57,7 +57,7 @@ def _(spark, d):
     path, cursor = scratch(spark)
     run = flows.upsert_stream(flows.read_stream(spark, source, polls.schema, per_batch=1), path, cursor, ["id"], ["seq"])
     run.awaitTermination()
-    return flows.last_version(spark, path, run)
+    return flows.current(spark, path, ["id"])
 
 
 @query("x02_drop_repeats", "SELECT DISTINCT event_id FROM events")

@@ -325,19 +325,21 @@ def _(spark, d):
     return features(spark, d).select("sha", "entropy", "entropy_normalized")
 
 
-KIND_PATHS = """CASE l_partkey % 9 WHEN 0 THEN concat('device/acme/x-', l_suppkey, '/u', l_partkey % 5, '/port.ini') WHEN 1 THEN 'platform/chip/docker-syncd/Makefile'
+# What an order touches: documents, tests, pins or CI files only, or a mix by part.
+KIND = "CASE l_orderkey % 8 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 4 THEN 6 ELSE l_partkey % 9 END"
+KIND_PATHS = f"""CASE {KIND} WHEN 0 THEN concat('device/acme/x-', l_suppkey, '/u', l_partkey % 5, '/port.ini') WHEN 1 THEN 'platform/chip/docker-syncd/Makefile'
  WHEN 2 THEN 'docs/a.md' WHEN 3 THEN 'tests/t.py' WHEN 4 THEN 'requirements-dev.txt' WHEN 5 THEN '.github/x.yml' WHEN 6 THEN concat('src/sub', l_suppkey % 7)
  WHEN 7 THEN concat('rules/docker-', l_suppkey % 7, '.mk') ELSE 'dockers/docker-lldp/x.c' END"""
-KIND_CLASS = """CASE l_partkey % 9 WHEN 2 THEN 'doc' WHEN 3 THEN 'test' WHEN 4 THEN 'config' WHEN 5 THEN 'build' WHEN 6 THEN 'submodule' ELSE 'code' END"""
+KIND_CLASS = f"""CASE {KIND} WHEN 2 THEN 'doc' WHEN 3 THEN 'test' WHEN 4 THEN 'config' WHEN 5 THEN 'build' WHEN 6 THEN 'submodule' ELSE 'code' END"""
 KIND_FILES = f"""SELECT l_orderkey % 1000 AS sha, CASE l_returnflag WHEN 'A' THEN 'A' ELSE 'M' END AS status, {KIND_PATHS} AS path, {KIND_CLASS} AS file_class
- FROM lineitem WHERE l_orderkey % 4 = l_partkey % 4"""
+ FROM lineitem"""
 
 
 def kind_files(spark, d):
     return spark.sql(KIND_FILES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, d, "lineitem"))
 
 
-@query("p01_change_types", PARSED + ", files AS (SELECT * FROM (" + KIND_FILES + r""") WHERE sha % 3 = 0 OR file_class = 'doc' OR (sha % 3 = 1 AND file_class = 'test')),
+@query("p01_change_types", PARSED + ", files AS (" + KIND_FILES + r"""),
  per AS (SELECT sha, count(*) AS n, count(*) FILTER (file_class = 'submodule' AND status = 'M') AS moved, bool_and(file_class IN ('submodule', 'build', 'config', 'doc', 'other')) AS plain,
    count(*) FILTER (file_class = 'doc') AS docs, count(*) FILTER (file_class = 'test') AS tests, count(*) FILTER (starts_with(path, 'requirements')) AS pins,
    count(*) FILTER (status = 'A' AND starts_with(path, 'device/')) AS devices, count(*) FILTER (starts_with(path, 'device/') OR starts_with(path, 'platform/')) AS hw,
@@ -359,7 +361,7 @@ def kind_files(spark, d):
  SELECT sha, coalesce(l[1], 'chore') AS change_type, CASE WHEN len(l) = 0 THEN 'chore' ELSE array_to_string(l, ',') END AS change_types,
   list_contains(l, 'fix') AND l[1] <> 'revert' AS fix_like FROM t""")
 def _(spark, d):
-    files = kind_files(spark, d).filter("sha % 3 = 0 OR file_class = 'doc' OR (sha % 3 = 1 AND file_class = 'test')").withColumn("new_path", F.col("path"))
+    files = kind_files(spark, d).withColumn("new_path", F.col("path"))
     messages = parsed(spark, d).select(
         "sha", "subject", T.subject_tags(F.col("subject")).alias("tags"), T.clean_body(F.col("message")).alias("body"),
         T.is_headline_revert(F.col("subject")).alias("is_revert"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ledger import fresh_rows, missing_keys, upsert
+from ..operators.ledger import fresh_rows, upsert
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None, per_batch: int | None = None) -> DataFrame:
@@ -30,34 +30,34 @@ def land(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def _version(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    """The table as of the last batch before ``batch``, or None."""
+def _versions(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """All parts of a table written by batches before ``below``, with the batch number in ``v``; None if there are none."""
     from pyspark.errors import AnalysisException
 
-    if batch < 0:
-        return None
     try:
-        return spark.read.parquet(f"{path}/v={batch}")
+        parts = spark.read.parquet(path)
     except AnalysisException:
         return None
+    return parts if below is None else parts.filter(F.col("v") < below)
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:
     """Fold overlapping polls into a table in which the latest version of a key wins.
 
-    Every batch writes its own version of the table, so a batch that is run again after a failure
-    rewrites the same version from the same one before it.
+    A batch writes only its own rows, as its own part; a batch that is run again after a failure rewrites
+    that part and no other. Readers merge the parts with ``current``.
     """
     def write(batch: DataFrame, number: int) -> None:
-        old = _version(batch.sparkSession, path, number - 1)
-        latest = upsert(batch.limit(0) if old is None else old, batch, keys, order)
-        latest.write.mode("overwrite").parquet(f"{path}/v={number}")
+        upsert(batch.limit(0), batch, keys, order).write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def last_version(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    return spark.read.parquet(f"{path}/v={query.lastProgress['batchId']}")
+def current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The latest version of every key over all parts."""
+    parts = spark.read.parquet(path)
+    row = F.struct(*[F.col(name) for name in parts.columns if name != "v"])
+    return parts.groupBy(*keys).agg(F.max_by(row, "v").alias("_row")).select("_row.*")
 
 
 def drop_repeats(stream: DataFrame, key: str, at: str, delay: str = "1 day") -> DataFrame:
@@ -73,11 +73,8 @@ def score_once(heads: DataFrame, score: Callable[[DataFrame], DataFrame], ledger
     Heads over the limit stay out of the ledger and come with the next poll.
     """
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        past = [part for part in (_version(spark, ledger, n) for n in range(number)) if part is not None]
-        fresh = fresh_rows(batch.limit(0), batch, order, keys)
-        for part in past:
-            fresh = missing_keys(fresh, part, keys)
+        past = _versions(batch.sparkSession, ledger, below=number)
+        fresh = fresh_rows(batch.limit(0) if past is None else past, batch, order, keys)
         if at_most is not None:
             fresh = fresh.orderBy(*order).limit(at_most)
         score(fresh).write.mode("overwrite").parquet(f"{ledger}/v={number}")
