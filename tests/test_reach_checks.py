@@ -93,8 +93,8 @@ def test_appends_are_unique_in_the_ledger_and_in_the_batch(spark):
 
 
 def test_mentions_bind_hyphens_and_tags(spark):
-    vocabulary = spark.createDataFrame([("platform", "v/a", "SN2700"), ("platform", "v/b", "SN2700-D48"), ("vendor", "fs", "fs"), ("family", "c s", "core switch")], "kind string, entity string, name string")
-    texts = spark.createDataFrame([(1, "fix SN2700-D48 now"), (2, "[fs] x"), (3, "fs x"), (4, "a core switch."), (5, "[sn2700/y] z")], "id int, text string")
+    vocabulary = spark.createDataFrame([("platform", "v/a", "BX2700"), ("platform", "v/b", "BX2700-D48"), ("vendor", "fs", "fs"), ("family", "c s", "core switch")], "kind string, entity string, name string")
+    texts = spark.createDataFrame([(1, "fix BX2700-D48 now"), (2, "[fs] x"), (3, "fs x"), (4, "a core switch."), (5, "[bx2700/y] z")], "id int, text string")
     got = sorted((r["id"], r["entity"], r["via"]) for r in B.mentions(texts, vocabulary).collect())
     assert got == [(1, "v/b", "subject"), (2, "fs", "subject_tag"), (4, "c s", "subject"), (5, "v/a", "subject_tag")]
 

@@ -53,7 +53,7 @@ def recent_experience(facts: DataFrame, width: int = BLOCK) -> DataFrame:
     C(0) - sum over y >= 1 of C(y) / (y (y + 1)); so one count per commit and year of the
     author's past is enough, and no pair of commits is ever built.
     """
-    prior = author_prior(facts, width)
+    prior = checkpointed(author_prior(facts, width))
     first = prior.groupBy("author_id").agg(F.min("landed").alias("_first"))
     years = F.floor((F.col("landed") - F.col("_first")) / YEAR).cast("int")
     probes = (
@@ -122,7 +122,7 @@ def file_history(facts: DataFrame, touches: DataFrame, reads: DataFrame, width:
     work grows with the postings of the sets and never with pairs of commits.
     """
     events = touches.join(facts.select("idx", "author_id", "landed", "fix_like"), "idx")
-    # Both intermediate tables feed several branches below, so each is written once.
+    # Tables that feed several branches below are written once.
     per_position = checkpointed(events.groupBy("lineage", "idx").agg(
         F.count(F.lit(1)).alias("n"), F.max("landed").alias("landed"),
         F.max("author_id").alias("author_id"), F.bool_or("fix_like").alias("fix_like"),
@@ -137,21 +137,22 @@ def file_history(facts: DataFrame, touches: DataFrame, reads: DataFrame, width:
     state = running(
         own, ["lineage"], "idx", {"touched": F.col("n")}, {"last": F.col("landed")}, width=width
     ).select("lineage", "idx", "touched", "last")
-    live = reads.join(state, ["lineage", "idx"]).filter("touched > 0").join(
+    live = checkpointed(reads.join(state, ["lineage", "idx"]).filter("touched > 0").join(
         facts.select("idx", F.col("landed").alias("now")), "idx"
-    )
+    ))
     simple = live.groupBy("idx").agg(
         F.max("touched").alias("file_prior_changes_max"),
         F.round(F.avg((F.col("now") - F.col("last")) / DAY), 3).alias("file_days_since_last_change"),
         F.count(F.lit(1)).alias("_live"),
-        # A commit's own files: as many as it changed, never a whole key of the table.
-        F.array_sort(F.collect_set("lineage")).alias("_members"),
+        # The set of lineages as a number, order-free and without gathering them: a sum and an xor of hashes.
+        F.sum(F.xxhash64("lineage").cast("decimal(38,0)")).alias("_sum"), F.bit_xor(F.xxhash64(F.lit("set"), "lineage")).alias("_xor"),
     )
-    named = checkpointed(simple.withColumn("group", F.sha2(F.to_json("_members"), 256)))
+    named = checkpointed(simple.withColumn("group", F.concat_ws(":", "_live", "_sum", "_xor")).drop("_sum", "_xor"))
     spans = named.groupBy("group").agg(
-        F.any_value("_members").alias("_members"), F.max("idx").alias("_last"), (F.count(F.lit(1)) == 1).alias("_once")
+        F.min("idx").alias("idx"), F.max("idx").alias("_last"), (F.count(F.lit(1)) == 1).alias("_once")
     )
-    members = spans.select("group", "_last", "_once", F.explode("_members").alias("lineage"))
+    # The first reader of a set names its members for all of them.
+    members = live.select("idx", "lineage").join(spans, "idx").select("group", "_last", "_once", "lineage")
     marks = named.select("group", "idx").join(spans.select("group", "_once"), "group")
 
     def before(postings: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, arch_of, basename, directory, normalize
 from ..operators import coverage as V
+from ..session import checkpointed
 from .registering import Collector
 from .views import cte, table, view
 
@@ -77,8 +78,8 @@ def reached(spark, d):
     return V.affected(V.owning(paths, e, ["rev"]), V.reaching(paths, links(spark, d), e, ["rev"]))
 
 
-def result(spark, d):
-    return V.coverage(reached(spark, d), real(spark, d), groups(spark, d), ["rev"])
+def result(spark, d, found=None):
+    return V.coverage(reached(spark, d) if found is None else found, real(spark, d), groups(spark, d), ["rev"])
 
 
 def whole(spark, d):
@@ -256,7 +257,8 @@ def files(spark, d):
 @query("t01_hotspots_per_change", HEAD + SPOTS + """ SELECT rev, path, CAST(fanout AS BIGINT) AS fanout, path_class, entity_fanout, coverage_gap, ambiguity, score, CAST(position AS BIGINT) AS position
  FROM (SELECT *, row_number() OVER (PARTITION BY rev ORDER BY score DESC, path) AS position FROM spots) WHERE position <= 3""")
 def _(spark, d):
-    spots = V.hotspots(files(spark, d), reached(spark, d), result(spark, d), 6, ["rev"], limit=3)
+    found = checkpointed(reached(spark, d))
+    spots = V.hotspots(files(spark, d), found, result(spark, d, found), 6, ["rev"], limit=3)
     return spots.withColumn("position", F.col("position").cast("bigint"))
 
 

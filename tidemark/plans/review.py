@@ -9,6 +9,7 @@ from ..operators import backtest as B
 from ..operators import checks as K
 from ..operators import history as H
 from ..operators.prefix import running
+from .history import SPLIT_CTES
 from .registering import Collector
 from .views import commits, cte, facts, table, view, with_areas
 
@@ -407,12 +408,18 @@ def _(spark, d):
     return unseen_rows(f, new, lambda rows: H.author_prior(rows)).select("author_id", "author_prior_commits")
 
 
-@query("s14_dataset_card", cte("facts") + """ SELECT CAST(count(*) AS BIGINT) AS commits, CAST(count(*) FILTER (is_merge) AS BIGINT) AS merges, CAST(count(*) FILTER (is_revert) AS BIGINT) AS reverts, min(landed) AS first_landed, max(landed) AS last_landed,
- CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS file_paths FROM facts""")
+@query("s14_dataset_card", cte("facts") + "," + SPLIT_CTES + """ SELECT CAST(count(*) AS BIGINT) AS commits, CAST(count(*) FILTER (is_merge) AS BIGINT) AS merges, CAST(count(*) FILTER (is_revert) AS BIGINT) AS reverts, min(landed) AS first_landed, max(landed) AS last_landed,
+ CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS file_paths, CAST(count(*) FILTER (split = 'train') AS BIGINT) AS train, CAST(count(*) FILTER (split = 'gap') AS BIGINT) AS gap,
+ CAST(count(*) FILTER (fix_like) AS BIGINT) AS fixes FROM splits""")
 def _(spark, d):
+    from ..operators.splits import assign_splits
     from ..sources.dataset import dataset_card
 
-    return dataset_card(facts(spark, d), view(spark, d, "changes")).select("commits", "merges", "reverts", "first_landed", "last_landed", "file_paths")
+    f = facts(spark, d)
+    kinds = f.select("sha", F.when(F.col("fix_like"), "fix").otherwise("chore").alias("change_type"))
+    card = dataset_card(f, view(spark, d, "changes"), assign_splits(f)[0].select("sha", "split"), kinds=kinds)
+    return card.select("commits", "merges", "reverts", "first_landed", "last_landed", "file_paths", F.col("splits")["train"].alias("train"),
+                       F.col("splits")["gap"].alias("gap"), F.col("categories")["fix"].alias("fixes"))
 
 
 @query("w02_running_maximum_blocks", cte("facts") + " SELECT sha, landed FROM facts")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prefix import dense_index
+from ..session import checkpointed, spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -19,7 +20,7 @@ TABLES = (
 
 SPARK_DAY = "datediff(o_orderdate, DATE'1970-01-01')"
 DUCK_DAY = "date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))"
-SPARK_EPOCH = "unix_seconds(CAST(ts AS TIMESTAMP))"
+SPARK_EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 DUCK_EPOCH = "CAST(floor(epoch(ts)) AS BIGINT)"
 
 COMMIT_COLUMNS = """o_orderkey AS sha, o_custkey AS author_id, o_orderkey AS pr_number, CAST({DAY} AS BIGINT) AS day,
@@ -105,8 +106,13 @@ DUCK_FACTS = """SELECT *, CAST(max(committed_epoch) OVER (ORDER BY idx ROWS UNBO
 DUCK_ORDER = ("commits", "facts")
 
 
+# Tables of long texts, whose queries are bound by patterns rather than by reading.
+TEXTS = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,10 +143,10 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits with landing position and landing time."""
+    """Commits with landing position and landing time, written once: most queries read them several times."""
     from ..operators.history import landing_time
 
-    return landing_time(commits(spark, sf_dir))
+    return checkpointed(landing_time(commits(spark, sf_dir)))
 
 
 def with_areas(spark: SparkSession, sf_dir: str, frame: DataFrame, *columns: str) -> DataFrame:

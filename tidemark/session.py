@@ -42,3 +42,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: survives the loss of executors, unlike a local one."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over at least as many tasks as there are cores.
+
+    A few large files make a few tasks, which is too few for costly per-row work such as patterns over
+    long texts. A scan that has enough tasks already is left alone, so large tables are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -106,13 +106,38 @@ def read_exclusions(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(entry.alias("prefix")).filter("prefix <> ''")
 
 
-def dataset_card(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """One summary row over commits and files."""
+def _as_map(rows: DataFrame, key: str, value: str):
+    """A few (key, value) rows as one map."""
+    return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))).scalar()
+
+
+def dataset_card(
+    facts: DataFrame, files: DataFrame, splits: DataFrame | None = None, rates: DataFrame | None = None, kinds: DataFrame | None = None,
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """One summary row: commits, splits, label rates, change types, paths and columns.
+
+    ``splits(sha, split)``, ``rates(split, label, rate)``, ``kinds(sha, change_type)``. Each part is counted where
+    its rows are; only the few counts meet in the row.
+    """
     paths = files.agg(F.count(F.lit(1))).scalar()
-    return facts.agg(
+    card = facts.agg(
         F.count(F.lit(1)).alias("commits"), F.count_if("is_merge").alias("merges"), F.count_if("is_revert").alias("reverts"),
         F.count_distinct("author_id").alias("authors"), F.min("landed").alias("first_landed"), F.max("landed").alias("last_landed"),
     ).withColumn("file_paths", paths)
+    if splits is not None:
+        card = card.withColumn("splits", _as_map(splits.groupBy("split").agg(F.count(F.lit(1)).alias("n")), "split", "n"))
+    if rates is not None:
+        named = rates.select(F.concat_ws(":", "split", "label").alias("name"), "rate")
+        card = card.withColumn("label_rates", _as_map(named, "name", "rate"))
+    if kinds is not None:
+        card = card.withColumn("categories", _as_map(kinds.groupBy("change_type").agg(F.count(F.lit(1)).alias("n")), "change_type", "n"))
+    return card.withColumn("columns", F.array(*[F.lit(name) for name in columns or []]).cast("array<string>"))
+
+
+def card_json(card: DataFrame) -> DataFrame:
+    """The card as one JSON text with sorted keys."""
+    return card.select(F.to_json(F.struct(*sorted(card.columns))).alias("card"))
 
 
 CORPUS_TABLES = ("manifest", "incidents", "controls", "candidates")
