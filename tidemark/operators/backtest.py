@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, directory
 from ..functions.text import PR_SUFFIX, REVERTS_SHA, number
+from ..session import checkpointed
 from .metrics import rate, upper_median
 from .splits import resolve_prefixes
 
@@ -108,7 +109,7 @@ def quoted_matches(commits: DataFrame, quoted: DataFrame) -> DataFrame:
     Cut quotes join on the head of the subject, one equality per length in use. ``quoted(text)``.
     """
     whole = commits.join(quoted.select(F.col("text").alias("subject")), "subject", "left_semi").select("sha")
-    cut = quoted.filter(F.col("text").endswith("…")).select(F.expr("left(text, length(text) - 1)").alias("head")).distinct()
+    cut = checkpointed(quoted.filter(F.col("text").endswith("…")).select(F.expr("left(text, length(text) - 1)").alias("head")).distinct())
     lengths = cut.agg(F.array_sort(F.collect_set(F.length("head")))).scalar()
     heads = (
         commits.select("sha", "subject", lengths.alias("_l")).select("sha", "subject", F.explode("_l").alias("_n"))
@@ -147,9 +148,9 @@ def hash_sample(pool: DataFrame, salt: str, quota: int, usable: Column | None =
 
     The last taken row marks how far the walk went; rows beyond it were never looked at.
     """
-    ranked = pool.withColumn("rank_key", rank_key(salt, F.col(key))).withColumn(
+    ranked = checkpointed(pool.withColumn("rank_key", rank_key(salt, F.col(key))).withColumn(
         "usable", F.lit(True) if usable is None else usable
-    )
+    ))
     taken = ranked.filter("usable").orderBy("rank_key", key).limit(quota)
     last = taken.agg(F.when(F.count(F.lit(1)) == quota, F.max("rank_key"))).scalar()
     return ranked.withColumn("_last", last).filter(F.col("_last").isNull() | (F.col("rank_key") <= F.col("_last"))).drop("_last")
@@ -308,8 +309,6 @@ def ancestors_of(start: DataFrame, parents: DataFrame, max_rounds: int = 64, fir
     Paths double in length every round, so a history of n commits needs log2(n) rounds; each round is
     checkpointed and the loop ends when nothing new is found.
     """
-    from ..session import checkpointed
-
     edges = parents.filter("ord = 0") if first_only else parents
     jump = checkpointed(edges.select("sha", "parent").distinct())
     reach = checkpointed(start.select(F.col("sha").alias("start"), "sha").distinct())

@@ -9,6 +9,7 @@ from ..operators import backtest as B
 from ..operators import checks as K
 from ..operators import history as H
 from ..operators.prefix import running
+from ..session import checkpointed
 from .history import SPLIT_CTES
 from .registering import Collector
 from .views import commits, cte, facts, table, view, with_areas
@@ -39,7 +40,8 @@ def story(spark, d):
 
 def incidents(spark, d):
     s = story(spark, d)
-    return B.mine_incidents(s.filter("k % 29 = 0"), s)
+    # Funnels and screens read the incidents several times.
+    return checkpointed(B.mine_incidents(s.filter("k % 29 = 0"), s))
 
 
 @query("j02_incidents", INCIDENTS + " SELECT * FROM inc")
