@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, lines
+from . import decontaminate, exact, lines, near, substring, suffixes
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_exact_dedup": exact.op2_exact_dedup,
     "op4_line_dedup": lines.op4_line_dedup,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op8_suffix_array_dedup": suffixes.op8_suffix_array_dedup,
+    "op9_minhash_near_dedup": near.op9_minhash_near_dedup,
 }
 ORACLES = {
+    "op1_substring_dedup": substring.OP1_SQL,
     "op2_exact_dedup": exact.OP2_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
