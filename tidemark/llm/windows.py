@@ -59,12 +59,14 @@ class Rolling:
 
     def at(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
         found = (self._sums[starts + lengths] - self._sums[starts]) * self._backward[starts]
-        return mixed(found + np.asarray(lengths).astype(np.uint64) * _ODD + self._salt)
+        if np.ndim(lengths):
+            return mixed(found + (lengths.astype(np.uint64) * _ODD + self._salt))
+        return mixed(found + np.uint64((int(lengths) * int(_ODD) + int(self._salt)) % (1 << 64)))
 
     def every(self, length: int) -> np.ndarray:
         """The hash at each start that leaves room for ``length`` units."""
         found = (self._sums[length:] - self._sums[:-length]) * self._backward[: len(self._sums) - length]
-        return mixed(found + np.uint64(length) * _ODD + self._salt)
+        return mixed(found + np.uint64((length * int(_ODD) + int(self._salt)) % (1 << 64)))
 
 
 def byte_units(data: np.ndarray, salt: int) -> np.ndarray:
