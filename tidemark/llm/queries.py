@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, lines, near, substring, suffixes
+from . import chat, decontaminate, exact, language, lines, near, packing, quality, substring, suffixes
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op3_language_id": language.op3_language_id,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_suffix_array_dedup": suffixes.op8_suffix_array_dedup,
     "op9_minhash_near_dedup": near.op9_minhash_near_dedup,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLES = {
     "op1_substring_dedup": substring.OP1_SQL,
     "op2_exact_dedup": exact.OP2_SQL,
     "op4_line_dedup": lines.OP4_SQL,
+    "op5_chat_formatting": chat.OP5_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
 }
