@@ -42,7 +42,6 @@ SECTION_TITLES = {
 SECTIONS = ("why", "how", "verify")
 EMAIL_PLACEHOLDER = "<email>"
 NAME_PLACEHOLDER = "<name>"
-BODY_MAX_CHARS = 20_000
 SECTION_MAX_CHARS = 6_000
 SINGLE_NAME_MIN_CHARS = 5
 MULTI_NAME_MIN_CHARS = 5

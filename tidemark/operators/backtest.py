@@ -287,10 +287,6 @@ def submodule_names(gitlinks: DataFrame, modules: DataFrame, parents: DataFrame)
     )
 
 
-def is_under(path: Column, root: Column) -> Column:
-    return F.array_contains(ancestors(path), root)
-
-
 def align(records: DataFrame, annotations: DataFrame, key: str = "sha") -> DataFrame:
     """Records with their annotations by key; a key on one side only is an error, never a shift."""
     both = records.withColumn("_r", F.lit(True)).join(annotations.withColumn("_a", F.lit(True)), key, "full_outer")
@@ -299,15 +295,11 @@ def align(records: DataFrame, annotations: DataFrame, key: str = "sha") -> DataF
     return both.filter(checked.isNull()).drop("_r", "_a")
 
 
-def parent_directory(path: Column) -> Column:
-    return directory(path)
-
-
 def ancestors_of(start: DataFrame, parents: DataFrame, max_rounds: int = 64, first_only: bool = False) -> DataFrame:
     """(start, sha) reachable from each start over ``parents(sha, parent, ord)``, itself included.
 
     Paths double in length every round, so a history of n commits needs log2(n) rounds; each round is
-    checkpointed and the loop ends when nothing new is found.
+    checkpointed and the loop ends when nothing new is found. Raises if ``max_rounds`` do not suffice.
     """
     edges = parents.filter("ord = 0") if first_only else parents
     jump = checkpointed(edges.select("sha", "parent").distinct())
@@ -322,4 +314,4 @@ def ancestors_of(start: DataFrame, parents: DataFrame, max_rounds: int = 64, fir
         size = now
         further = jump.alias("a").join(jump.alias("b"), F.col("a.parent") == F.col("b.sha")).select("a.sha", "b.parent")
         jump = checkpointed(jump.union(further).distinct())
-    return reach
+    raise RuntimeError(f"the ancestry is not complete after {max_rounds} rounds")

@@ -145,18 +145,19 @@ def job_base_rates(labels: DataFrame, jobs: Sequence[str], base: Column) -> Data
 
 
 def path_job_failures(
-    files: DataFrame, labels: DataFrame, min_n: int = 5, top: int = 400
+    files: DataFrame, labels: DataFrame, min_n: int = 1, top: int | None = None
 ) -> DataFrame:
-    """Train-only failure rate per path and job, the ``top`` highest. ``files(pr, path)``, ``labels(pr, job, result, split)``."""
+    """Train-only failure rate per path and job with its support ``n``. ``files(pr, path)``, ``labels(pr, job, result, split)``.
+
+    A report may ask for rates of a support of at least ``min_n`` (usual: 5) and for the ``top`` highest (usual: 400).
+    """
     graded = labels.filter("split = 'train' and result in ('succeeded', 'failed')")
     # Rows of one PR meet its few jobs; outcomes shrink to one count per (path, job) map-side.
     rates = files.select("pr", "path").join(graded, "pr").groupBy("path", "job").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("result") == "failed").alias("fail")
     )
-    scored = rates.filter(F.col("n") >= min_n).withColumn("_p", F.col("fail") / F.col("n"))
-    return scored.withColumn("p_fail", F.round("_p", 4)).orderBy(
-        F.desc("p_fail"), F.desc("n"), "path", "job"
-    ).limit(top).drop("_p")
+    scored = rates.filter(F.col("n") >= min_n).withColumn("p_fail", F.round(F.col("fail") / F.col("n"), 4))
+    return scored if top is None else scored.orderBy(F.desc("p_fail"), F.desc("n"), "path", "job").limit(top)
 
 
 def path_usable(source: Column) -> Column:
@@ -185,9 +186,9 @@ def pr_files(runs: DataFrame, squash: DataFrame, fetched: DataFrame) -> tuple[Da
 
 
 def revert_rates(
-    changes: DataFrame, commits: DataFrame, rules: PathRules, min_touches: int = 50
+    changes: DataFrame, commits: DataFrame, rules: PathRules, min_touches: int = 1
 ) -> DataFrame:
-    """Touches, reverts, revert rate and lift of every path touched often enough."""
+    """Touches, reverts, revert rate and lift of every path with at least ``min_touches`` (usual for a report: 50)."""
     base = commits.agg((F.count_if("is_revert") / F.count(F.lit(1))).alias("b")).scalar()
     rates = changes.join(commits.select("sha", "is_revert"), "sha").groupBy("path").agg(
         F.count(F.lit(1)).alias("touches"), F.count_if("is_revert").alias("reverts")
@@ -281,7 +282,7 @@ def rule_scores(
     )
     slots = prs.select("pr").distinct().withColumn("job", F.explode(_strings(reach.gold)))
     score = F.col("base") * F.greatest(F.lit(1.0), F.coalesce("_lift", F.lit(1.0)))
-    return slots.join(reached, ["pr", "job"], "left").join(F.broadcast(job_base), "job").select(
+    return slots.join(reached, ["pr", "job"], "left").join(job_base, "job").select(
         "pr", "job", F.round(F.least(score, F.lit(rules.cap)), 6).alias("heuristic_p")
     )
 
@@ -301,8 +302,3 @@ def fidelity(model: DataFrame, observed: DataFrame, excluded: DataFrame) -> Data
     return both.filter("_m is null or _o is null").select(
         "name", F.when(F.col("_o").isNull(), "only_in_model").otherwise("only_in_observed").alias("side")
     )
-
-
-def pr_order(runs: DataFrame) -> DataFrame:
-    """Runs newest first with their position."""
-    return dense_index(runs, [F.desc("finish"), F.asc("pr")], out="position")

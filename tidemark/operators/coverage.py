@@ -15,7 +15,6 @@ from ..functions.paths import ancestors, arch_of, basename, directory, join_rela
 from ..session import checkpointed
 
 # Fixed values.
-MAX_LINK_HOPS = 8
 WEIGHT_PATH_CLASS = 0.30
 WEIGHT_ENTITY_FANOUT = 0.20
 WEIGHT_COVERAGE_GAP = 0.30
@@ -77,11 +76,12 @@ def file_entities(tree: DataFrame, pattern: str) -> DataFrame:
     )
 
 
-def resolve_links(links: DataFrame, scope: Sequence[str] = (), max_hops: int = MAX_LINK_HOPS) -> DataFrame:
-    """The path each link finally lands on, which may be a directory or gone; null for loops and long chains.
+def resolve_links(links: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """The path each link finally lands on, which may be a directory or gone; null for loops.
 
-    ``links(scope.., path, target)`` hold link texts. One self-join per hop, bounded by ``max_hops``: a path
-    that is still a link afterwards loops or is too long. A target above the root is an error.
+    ``links(scope.., path, target)`` hold link texts. Each round doubles the hops taken; a chain has no more hops
+    than there are links, so what still is a link after log2 of their number of rounds loops. A target above
+    the root is an error.
     """
     where = join_relative(F.col("path"), F.col("target"))
     above = where.startswith("../") | (where == "..") | F.col("target").startswith("/")
@@ -89,11 +89,12 @@ def resolve_links(links: DataFrame, scope: Sequence[str] = (), max_hops: int = M
         *scope, "path", F.when(above, F.raise_error(F.concat(F.lit("link leaves the tree: "), "path"))).otherwise(where).alias("to")
     ))
     keys = [*scope, "at"]
-    hop = steps.select(*scope, F.col("path").alias("at"), F.col("to").alias("next"))
-    going = steps.select(*scope, "path", F.col("to").alias("at"))
-    for _ in range(max_hops - 1):
-        going = going.join(hop, keys, "left").select(*scope, "path", F.coalesce("next", "at").alias("at"))
-    still = hop.select(*keys).withColumn("_link", F.lit(True))
+    still = steps.select(*scope, F.col("path").alias("at")).withColumn("_link", F.lit(True))
+    going, hops, links_in_all = steps.select(*scope, "path", F.col("to").alias("at")), 1, steps.count()
+    while hops < links_in_all and not going.join(still, keys, "left_semi").isEmpty():
+        further = going.select(*scope, F.col("path").alias("at"), F.col("at").alias("next"))
+        going = checkpointed(going.join(further, keys, "left").select(*scope, "path", F.coalesce("next", "at").alias("at")))
+        hops *= 2
     return going.join(still, keys, "left").select(*scope, "path", F.when(F.col("_link").isNull(), F.col("at")).alias("resolved"))
 
 
@@ -316,14 +317,14 @@ def brief_problems(
     return sums.union(sets).union(outside).union(totals)
 
 
-def signature_groups(rows: DataFrame, key: Sequence[str], member: str, limit: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(group per equal signature with size and first member, members of groups beyond ``limit``).
+def signature_groups(rows: DataFrame, key: Sequence[str], member: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(group per equal signature with size and first member, members of groups beyond ``limit``, none without one; a report usually shows 8).
 
     Signatures hash their columns, so long arrays do not travel; groups are numbered by first member.
     """
     marked = rows.withColumn("signature", F.sha2(F.to_json(F.struct(*key)), 256))
     groups = marked.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.min(member).alias("representative"))
-    top = groups.orderBy("representative").limit(limit)
+    top = groups if limit is None else groups.orderBy("representative").limit(limit)
     rest = marked.join(top.select("signature"), "signature", "left_anti").select(member)
     return top.select("representative", "members"), rest
 

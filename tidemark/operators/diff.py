@@ -10,11 +10,6 @@ from ..functions.lines import comment_markers, indentation_matters, line_kind, s
 
 # Fixed values.
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-MAX_LINES_PER_FILE = 400
-MAX_LINE_BYTES = 2_000
-PATCH_MAX_BYTES_PER_COMMIT = 200_000
-PAIRING_MAX_LINES = 5_000
-MAX_CAUSE_LINES = 6
 
 
 def patch_lines(patches: DataFrame, keys: tuple[str, ...] = ("sha", "path"), column: str = "patch") -> DataFrame:
@@ -65,21 +60,29 @@ def hunk_ranges(lines: DataFrame, keys: tuple[str, ...] = ("sha", "path")) -> Da
     )
 
 
-def cap_lines(lines: DataFrame, keys: tuple[str, ...] = ("sha", "path"), max_lines: int = MAX_LINES_PER_FILE,
-              max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """The first ``max_lines`` kept lines of a file, over-long ones replaced by a note of their size."""
+def cap_lines(lines: DataFrame, keys: tuple[str, ...] = ("sha", "path"), max_lines: int | None = None,
+              max_bytes: int | None = None) -> DataFrame:
+    """The kept lines of a file, numbered, with their whole number and whether some are left out.
+
+    ``max_lines`` keeps the first so many (usual: 400), ``max_bytes`` replaces longer lines by a note of their
+    size (usual: 2,000). Without them nothing is left out.
+    """
     kept = lines.filter(F.col("line").rlike(HUNK) | F.left("line", F.lit(1)).isin("+", "-", "\\"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
     size = F.octet_length("line")
-    long = size > max_bytes
+    long = size > max_bytes if max_bytes is not None else F.lit(False)
+    whole = kept.withColumn("n", nth).withColumn("n_lines", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    if max_lines is not None:
+        whole = whole.filter(F.col("n") <= max_lines)
     note = F.concat(F.left("line", F.lit(1)), F.format_string("<line omitted: %d bytes>", size))
-    return kept.withColumn("n", nth).filter(F.col("n") <= max_lines).select(
-        *keys, "n", F.when(long, note).otherwise(F.col("line")).alias("line"), long.alias("omitted")
+    cut = F.col("n_lines") > max_lines if max_lines is not None else F.lit(False)
+    return whole.select(
+        *keys, "n", F.when(long, note).otherwise(F.col("line")).alias("line"), long.alias("omitted"), "n_lines", cut.alias("truncated")
     )
 
 
-def commit_budget(lines: DataFrame, budget: int = PATCH_MAX_BYTES_PER_COMMIT) -> DataFrame:
-    """How many capped lines of each file fit the commit's byte budget, files in order.
+def commit_budget(lines: DataFrame, budget: int) -> DataFrame:
+    """How many lines of each file fit the commit's byte budget (usual: 200,000), files in order, of how many.
 
     ``lines(sha, file_no, n, line)``. A line over the remaining budget ends its own file only; later
     files go on with what is left. The fold runs over one record: a commit with its files.
@@ -101,25 +104,25 @@ def commit_budget(lines: DataFrame, budget: int = PATCH_MAX_BYTES_PER_COMMIT) ->
     def take_file(state: Column, file: Column) -> Column:
         start = F.struct(state["left"].alias("left"), F.lit(0).cast("bigint").alias("kept"), F.lit(False).alias("stopped"))
         done = F.aggregate(file["sizes"], start, take_line)
-        row = F.struct(file["file_no"].alias("file_no"), done["kept"].alias("kept"), done["stopped"].alias("truncated"))
+        row = F.struct(file["file_no"].alias("file_no"), done["kept"].alias("kept"), done["stopped"].alias("truncated"), F.size(file["sizes"]).cast("bigint").alias("n_lines"))
         return F.struct(done["left"].alias("left"), F.concat(state["rows"], F.array(row)).alias("rows"))
 
     start = F.struct(
         F.lit(budget).cast("bigint").alias("left"),
-        F.array().cast("array<struct<file_no:bigint,kept:bigint,truncated:boolean>>").alias("rows"),
+        F.array().cast("array<struct<file_no:bigint,kept:bigint,truncated:boolean,n_lines:bigint>>").alias("rows"),
     )
     return commits.select("sha", F.explode(F.aggregate("files", start, take_file)["rows"]).alias("r")).select(
-        "sha", "r.file_no", "r.kept", "r.truncated"
+        "sha", "r.file_no", "r.kept", "r.truncated", "r.n_lines"
     )
 
 
 def changed_line_kinds(numbered: DataFrame, keys: tuple[str, ...] = ("sha", "path"), path: str = "path",
-                       pairing_max: int = PAIRING_MAX_LINES) -> DataFrame:
+                       pairing_max: int | None = None) -> DataFrame:
     """Blank, whitespace-only and comment lines of each file, added and removed.
 
     Within a hunk a removed line pairs with a later added one that is equal after squeezing: added
     lines without a partner are the highest excess of additions over removals on the way through the
-    hunk. Removed lines beyond ``pairing_max`` per hunk do not take part.
+    hunk. With ``pairing_max``, removed lines beyond so many per hunk do not take part (usual: 5,000).
     """
     markers = comment_markers(F.col(path))
     keep = indentation_matters(F.col(path))
@@ -128,10 +131,11 @@ def changed_line_kinds(numbered: DataFrame, keys: tuple[str, ...] = ("sha", "pat
         squeeze(F.col("content"), keep).alias("text"),
     )
     removed = (F.col("kind") == "removed") & (F.col("what") != "blank")
-    nth = F.count_if(removed).over(
-        Window.partitionBy(*keys, "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    marked = changed.withColumn("pairable", (F.col("what") != "blank") & ~(removed & (nth > pairing_max)))
+    late = F.lit(False)
+    if pairing_max is not None:
+        nth = F.count_if(removed).over(Window.partitionBy(*keys, "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+        late = removed & (nth > pairing_max)
+    marked = changed.withColumn("pairable", (F.col("what") != "blank") & ~late)
     group = [*keys, "hunk", "text", "what", "pairable"]
     step = F.when(F.col("kind") == "added", 1).otherwise(-1)
     excess = F.sum(step).over(Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
@@ -151,12 +155,14 @@ def changed_line_kinds(numbered: DataFrame, keys: tuple[str, ...] = ("sha", "pat
     )
 
 
-def first_runs(numbered: DataFrame, keys: tuple[str, ...] = ("sha", "path"), limit: int = MAX_CAUSE_LINES) -> DataFrame:
-    """The first unbroken run of added and of removed lines of every file, up to ``limit`` lines."""
+def first_runs(numbered: DataFrame, keys: tuple[str, ...] = ("sha", "path"), limit: int | None = None) -> DataFrame:
+    """The first unbroken run of added and of removed lines of every file, with ``limit`` its first so many lines (usual: 6)."""
     changed = numbered.filter(F.col("kind").isin("added", "removed"))
     order = Window.partitionBy(*keys, "kind").orderBy("pos")
     islands = changed.withColumn("nth", F.row_number().over(order)).withColumn("start", F.first("pos").over(order))
-    run = islands.filter((F.col("pos") - F.col("nth") == F.col("start") - 1) & (F.col("nth") <= limit))
+    run = islands.filter(F.col("pos") - F.col("nth") == F.col("start") - 1)
+    if limit is not None:
+        run = run.filter(F.col("nth") <= limit)
     lineno = F.when(F.col("kind") == "added", F.col("new_lineno")).otherwise(F.col("old_lineno"))
     return run.groupBy(*keys, "kind").agg(
         F.min(lineno).alias("line_start"), F.max(lineno).alias("line_end"),

@@ -99,10 +99,17 @@ def change_types(messages: DataFrame, files: DataFrame) -> DataFrame:
     def first_tag(tags: Sequence[str]) -> Column:
         return F.get(F.array_sort(F.array_intersect("tags", F.array(*[F.lit(tag) for tag in tags]))), 0)
 
+    def quoted(text: Column) -> Column:
+        """Text in quotes; double ones where it holds single ones only."""
+        escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+        single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        return F.when(F.instr(text, "'").eqNullSafe(0) | (F.instr(text, '"') > 0), single).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
+
     def cut(pattern: str) -> Column:
-        return F.left(F.regexp_extract(subject, pattern, 0), F.lit(40))
+        return quoted(F.left(F.regexp_extract(subject, pattern, 0), F.lit(40)))
 
     some = total > 0
+    # The wording of the reasons.
     reasons: dict[str, Column] = {
         "revert": F.when(F.col("is_revert"), "subject is a revert"),
         "submodule-bump": F.when(
@@ -110,7 +117,7 @@ def change_types(messages: DataFrame, files: DataFrame) -> DataFrame:
         ),
         "docs": F.when(some & (F.col("docs") == total), F.concat(F.lit("all "), total, F.lit(" files are documentation"))),
         "test": F.when(some & (F.col("tests") == total), F.concat(F.lit("all "), total, F.lit(" files are tests"))).when(
-            first_tag(TEST_TAGS).isNotNull(), F.concat(F.lit("subject tag "), first_tag(TEST_TAGS))
+            first_tag(TEST_TAGS).isNotNull(), F.concat(F.lit("subject tag "), quoted(first_tag(TEST_TAGS)))
         ),
         "dependency-bump": F.when(F.lower(subject).contains("dependabot"), "automated dependency update").when(
             subject.rlike(DEPENDENCY_SUBJECT) & (F.col("moved") == 0), F.concat(F.lit("subject: "), cut(DEPENDENCY_SUBJECT))
@@ -120,14 +127,14 @@ def change_types(messages: DataFrame, files: DataFrame) -> DataFrame:
             F.concat("devices", F.lit(" files added under device/")),
         ).when(subject.rlike(PLATFORM_SUBJECT), F.concat(F.lit("subject: "), cut(PLATFORM_SUBJECT))),
         "fix": F.when(
-            subject.rlike(FIX_SUBJECT), F.concat(F.lit("subject keyword "), F.lower(F.regexp_extract(subject, FIX_SUBJECT, 0)))
+            subject.rlike(FIX_SUBJECT), F.concat(F.lit("subject keyword "), quoted(F.lower(F.regexp_extract(subject, FIX_SUBJECT, 0))))
         ).when(F.col("body").rlike(FIX_BODY), "body references a fixed issue"),
         "build-ci": F.when(some & (F.col("builds") == total), "only build or CI files changed").when(
-            first_tag(BUILD_CI_TAGS).isNotNull(), F.concat(F.lit("subject tag "), first_tag(BUILD_CI_TAGS))
+            first_tag(BUILD_CI_TAGS).isNotNull(), F.concat(F.lit("subject tag "), quoted(first_tag(BUILD_CI_TAGS)))
         ),
         "feature": F.when(
             subject.rlike(FEATURE_SUBJECT),
-            F.concat(F.lit("subject: "), F.left(F.trim(F.regexp_extract(subject, FEATURE_SUBJECT, 0)), F.lit(40))),
+            F.concat(F.lit("subject: "), quoted(F.left(F.trim(F.regexp_extract(subject, FEATURE_SUBJECT, 0)), F.lit(40)))),
         ),
     }
     hits = F.filter(
@@ -210,7 +217,3 @@ def one_hot(memberships: DataFrame, value: str, names: Sequence[str], prefix: st
     """0/1 columns over a fixed list of names, in that order."""
     wide = memberships.groupBy("sha").pivot(value, list(names)).agg(F.lit(1))
     return wide.select("sha", *[F.coalesce(F.col(f"`{name}`"), F.lit(0)).alias(f"{prefix}__{name}") for name in names])
-
-
-def log_counts(columns: Mapping[str, Column]) -> dict[str, Column]:
-    return {name: F.log1p(F.greatest(value, F.lit(0))) for name, value in columns.items()}

@@ -9,7 +9,6 @@ from .history import DAY
 
 # Fixed values.
 REVERT_WINDOWS_DAYS = (7, 30, 90)
-SZZ_MAX_DELETED_LINES = 1000
 TRIVIAL_LINE = r"^[{}()\[\];,]*$"
 COMMENT_PREFIXES = ("//", "/*", "*/", "* ", "# ", "--")
 LABELS = ("bug_introducing", "reverted", *(f"reverted_within_{days}d" for days in REVERT_WINDOWS_DAYS))
@@ -84,26 +83,28 @@ def blame_targets(files: DataFrame, classes: tuple[str, ...]) -> DataFrame:
 
 def attribute_bugs(
     fixes: DataFrame, targets: DataFrame, line_origin: DataFrame, commits: DataFrame,
-    max_deleted: int = SZZ_MAX_DELETED_LINES,
+    max_deleted: int | None = None,
 ) -> DataFrame:
-    """(introducer, fix) pairs, one per blamed line that an older commit of the chain wrote.
+    """(introducer, fix, deleted) pairs, one per blamed line that an older commit of the chain wrote.
 
     ``fixes(idx, parent)`` are fix-like commits with a parent, ``targets(idx, path, range_start,
     range_end)`` the lines each removed, ``line_origin(parent, path, line, origin_sha, text)`` who wrote
-    the lines of the parent tree. A fix that deletes too many lines is left out.
+    the lines of the parent tree. ``deleted`` is the number of lines that the fix removed; with ``max_deleted``
+    fixes over it are left out (the usual bound is 1,000).
     """
     width = F.col("range_end") - F.col("range_start") + 1
-    deleted = targets.groupBy("idx").agg(F.sum(width).alias("_deleted"))
-    lines = (
-        targets.join(fixes, "idx").join(deleted, "idx").filter(F.col("_deleted") <= max_deleted)
-        .select(F.col("idx").alias("fix"), "parent", "path",
-                F.explode(F.sequence("range_start", "range_end")).alias("line"))
-    )
+    deleted = targets.groupBy("idx").agg(F.sum(width).cast("bigint").alias("deleted"))
+    sized = targets.join(fixes, "idx").join(deleted, "idx")
+    if max_deleted is not None:
+        sized = sized.filter(F.col("deleted") <= max_deleted)
+    lines = sized.select(F.col("idx").alias("fix"), "parent", "path", "deleted", F.explode(F.sequence("range_start", "range_end")).alias("line"))
+    # Only the parent trees of fixes are looked at; the rest of the line table does not travel.
+    line_origin = line_origin.join(sized.select("parent", "path").distinct(), ["parent", "path"], "left_semi")
     written = line_origin.filter(is_meaningful_line(F.col("text"))).select("parent", "path", "line", "origin_sha")
     return (
         lines.join(written, ["parent", "path", "line"])
         .join(commits.select(F.col("sha").alias("origin_sha"), F.col("idx").alias("introducer")), "origin_sha")
-        .filter("introducer < fix").select("introducer", "fix")
+        .filter("introducer < fix").select("introducer", "fix", "deleted")
     )
 
 
@@ -155,7 +156,7 @@ def commit_labels(facts: DataFrame, links: DataFrame, bugs: DataFrame | None) ->
 
 def split_labels(labels: DataFrame, ends: DataFrame) -> DataFrame:
     """Labels as known when the row's split ended. ``labels`` carries ``split``; ``ends(split, end)``."""
-    seen = labels.join(F.broadcast(ends), "split", "left")
+    seen = labels.join(ends, "split", "left")
     inside = lambda flag, at: F.when(
         F.col("end").isNotNull() & F.col(flag), F.col(at) <= F.col("end")
     ).otherwise(F.col(flag))

@@ -38,7 +38,7 @@ SCORE = C.ScoreRules(
     cap=0.35, skip_mark="/3/", skip_cap=1.3, boost_buckets=("core", "tail9"), boost_jobs=("click", "view"),
     boost=1.15, bucket_priors={"core": 0.05, "seven": 0.2},
 )
-MIN_TOUCHES = 30
+MIN_TOUCHES = 1
 
 LABEL_CTES = """
  anys AS (SELECT pr, job, CASE WHEN bool_or(result = 'failed') THEN 'failed'
@@ -51,11 +51,11 @@ LABEL_CTES = """
  labelled AS (SELECT a.*, s.split FROM anys a JOIN prsplit s USING (pr))"""
 
 FILE_CTES = f"""
- squash AS (SELECT c.sha % 200 AS pr, c.idx, h.path, h.additions, h.deletions, h.is_binary AS binary
-   FROM changes h JOIN commits c USING (sha) WHERE c.sha % 200 < 100),
- fetched AS (SELECT l_orderkey % 150 AS pr, CASE l_orderkey % 150 % 3 WHEN 0 THEN 'pull_two_dot' ELSE 'merge_base' END AS source,
+ squash AS (SELECT c.author_id AS pr, c.idx, h.path, h.additions, h.deletions, h.is_binary AS binary
+   FROM changes h JOIN commits c USING (sha) WHERE c.fix_like),
+ fetched AS (SELECT l_suppkey AS pr, CASE l_suppkey % 3 WHEN 0 THEN 'pull_two_dot' ELSE 'merge_base' END AS source,
    concat('p/', l_partkey % 40, '/', l_partkey) AS path, CAST(l_quantity AS BIGINT) AS additions,
-   CAST(l_discount * 100 AS BIGINT) AS deletions, l_partkey % 50 = 0 AS binary FROM lineitem WHERE l_orderkey % 150 BETWEEN 80 AND 139),
+   CAST(l_discount * 100 AS BIGINT) AS deletions, l_partkey % 50 = 0 AS binary FROM lineitem),
  firstc AS (SELECT pr, min(idx) AS idx FROM squash GROUP BY pr),
  other AS (SELECT pr, max(source) AS source FROM fetched GROUP BY pr),
  prs AS (SELECT r.pr, c.idx, CASE WHEN c.idx IS NOT NULL THEN 'squash' ELSE coalesce(o.source, 'unresolved') END AS source
@@ -92,12 +92,12 @@ def labelled(spark, d):
 
 
 def bags(spark, d):
-    """(PRs with source and usability, their files)."""
-    c = commits(spark, d).filter("sha % 200 < 100").select("sha", "idx")
+    """(PRs with source and usability, their files). An urgent commit stands for a landed PR of its author."""
+    c = commits(spark, d).filter("fix_like").select("sha", "idx", "author_id")
     squash = view(spark, d, "changes").join(c, "sha").select(
-        F.expr("sha % 200").alias("pr"), "idx", "path", "additions", "deletions", F.col("is_binary").alias("binary"))
-    fetched = table(spark, d, "lineitem").filter("l_orderkey % 150 BETWEEN 80 AND 139").selectExpr(
-        "l_orderkey % 150 AS pr", "CASE l_orderkey % 150 % 3 WHEN 0 THEN 'pull_two_dot' ELSE 'merge_base' END AS source",
+        F.col("author_id").alias("pr"), "idx", "path", "additions", "deletions", F.col("is_binary").alias("binary"))
+    fetched = table(spark, d, "lineitem").selectExpr(
+        "l_suppkey AS pr", "CASE l_suppkey % 3 WHEN 0 THEN 'pull_two_dot' ELSE 'merge_base' END AS source",
         "concat('p/', l_partkey % 40, '/', l_partkey) AS path", "CAST(l_quantity AS BIGINT) AS additions",
         "CAST(l_discount * 100 AS BIGINT) AS deletions", "l_partkey % 50 = 0 AS binary")
     return C.pr_files(results(spark, d), squash, fetched)
@@ -235,8 +235,7 @@ def _(spark, d):
 @query("a05_path_job_failures", cte("commits", "changes", "job_results") + "," + LABEL_CTES + "," + FILE_CTES + """
  SELECT path, job, CAST(n AS BIGINT) AS n, CAST(fail AS BIGINT) AS fail, round(fail / CAST(n AS DOUBLE), 4) AS p_fail FROM (
   SELECT f.path, l.job, count(*) AS n, count(*) FILTER (l.result = 'failed') AS fail FROM prfiles f JOIN labelled l ON l.pr = f.pr
-   WHERE l.split = 'train' AND l.result IN ('succeeded', 'failed') GROUP BY ALL) WHERE n >= 5
-  ORDER BY p_fail DESC, n DESC, path, job LIMIT 400""")
+   WHERE l.split = 'train' AND l.result IN ('succeeded', 'failed') GROUP BY ALL)""")
 def _(spark, d):
     return C.path_job_failures(bags(spark, d)[1], labelled(spark, d))
 

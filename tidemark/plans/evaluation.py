@@ -88,14 +88,14 @@ def _(spark, d):
 
 @query("a18_bootstrap_intervals", cte("scored") + """, ids AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS total FROM scored),
  draws AS (SELECT b, ('0x' || substr(sha256(concat('7:', b, ':', i)), 1, 8))::BIGINT % total AS j, count(*) AS w
-   FROM ids, range(0, 40) AS r(b) GROUP BY ALL),
+   FROM ids, range(0, 1000) AS r(b) GROUP BY ALL),
  drawn AS (SELECT d.b, s.y, s.score, d.w FROM draws d JOIN ids s ON s.i = d.j),""" + ranking_sql("drawn", "b", "w") + """,
  vals AS (SELECT 'pr_auc' AS metric, round(ap, 12) AS value FROM ranked UNION ALL SELECT 'roc_auc', round(auc, 12) FROM ranked
    UNION ALL SELECT 'brier', sum(w * pow(score - y, 2)) / sum(w) FROM drawn GROUP BY b)
  SELECT metric, CAST(count(value) AS BIGINT) AS samples, round(quantile_cont(value, 0.025), 6) AS ci_low,
   round(quantile_cont(value, 0.975), 6) AS ci_high FROM vals GROUP BY metric""")
 def _(spark, d):
-    return M.bootstrap(rows(spark, d), samples=40, seed=7)
+    return M.bootstrap(rows(spark, d), seed=7)
 
 
 PRED = "CASE WHEN score >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END"

@@ -30,11 +30,11 @@ BUG_CTES = """
  fixes AS (SELECT idx, sha AS parent FROM facts WHERE fix_like AND NOT is_merge),
  ranges AS (SELECT f.idx, f.parent, t.path, t.range_start, t.range_end FROM targets t JOIN fixes f ON t.sha = f.parent),
  sizes AS (SELECT idx, sum(range_end - range_start + 1) AS deleted FROM ranges GROUP BY idx),
- blamed AS (SELECT r.idx AS fix, o.origin_sha FROM ranges r JOIN sizes s ON s.idx = r.idx AND s.deleted <= 30
+ blamed AS (SELECT r.idx AS fix, o.origin_sha, s.deleted FROM ranges r JOIN sizes s ON s.idx = r.idx
    JOIN line_origin o ON o.parent = r.parent AND o.path = r.path AND o.line BETWEEN r.range_start AND r.range_end
    WHERE trim(o.text) <> '' AND NOT regexp_full_match(trim(o.text), '[{}()\\[\\];,]*')
      AND NOT starts_with(trim(o.text), '//') AND trim(o.text) <> '#'),
- pairs AS (SELECT c.idx AS introducer, b.fix FROM blamed b JOIN facts c ON c.sha = b.origin_sha WHERE c.idx < b.fix),
+ pairs AS (SELECT c.idx AS introducer, b.fix, b.deleted FROM blamed b JOIN facts c ON c.sha = b.origin_sha WHERE c.idx < b.fix),
  bugs AS (SELECT introducer, min(fix) AS fix, count(DISTINCT fix) AS fix_count FROM pairs GROUP BY introducer)"""
 
 LABEL_CTES = REVERT_CTES + "," + BUG_CTES + """,
@@ -84,7 +84,7 @@ def bug_pairs(spark, d, f):
     """The blamed pairs of the derived commits; the parent tree of a fix carries the fix's key."""
     fixes = f.filter("fix_like and not is_merge").select("idx", F.col("sha").alias("parent"))
     targets = view(spark, d, "targets").join(f.select("sha", "idx"), "sha").drop("sha")
-    return L.attribute_bugs(fixes, targets, view(spark, d, "line_origin"), f, max_deleted=30)
+    return L.attribute_bugs(fixes, targets, view(spark, d, "line_origin"), f)
 
 
 def labels_of(spark, d, f):
@@ -232,10 +232,10 @@ def _(spark, d):
 
 
 @query("j05_blame_attribution", cte("facts", "targets", "line_origin") + "," + BUG_CTES + """
- SELECT introducer, fix, count(*) AS lines FROM pairs GROUP BY introducer, fix""")
+ SELECT introducer, fix, count(*) AS lines, CAST(any_value(deleted) AS BIGINT) AS deleted FROM pairs GROUP BY introducer, fix""")
 def _(spark, d):
     pairs = bug_pairs(spark, d, facts(spark, d))
-    return pairs.groupBy("introducer", "fix").agg(F.count(F.lit(1)).alias("lines"))
+    return pairs.groupBy("introducer", "fix").agg(F.count(F.lit(1)).alias("lines"), F.max("deleted").alias("deleted"))
 
 
 @query("a22_introducers", cte("facts", "targets", "line_origin") + "," + BUG_CTES + """

@@ -302,7 +302,7 @@ def _(spark, d):
     return K.cited_groups(answers, groups)
 
 
-@query("f23_confidence_band", """WITH a AS (SELECT l_orderkey AS q, CASE l_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS c, l_linenumber AS n FROM lineitem WHERE l_returnflag <> 'A'),
+@query("f23_confidence_band", """WITH a AS (SELECT l_orderkey AS q, CASE l_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS c, l_linenumber AS n FROM lineitem),
  s AS (SELECT q, max(c) AS best, count(*) FILTER (c = 1) AS complete, coalesce(sum(n) FILTER (c = 1), 0) AS breadth FROM a GROUP BY q),
  o AS (SELECT o_orderkey AS question, CASE o_orderkey % 4 WHEN 0 THEN 0.4 ELSE 0.7 END::DOUBLE AS prior, o_orderkey % 5 = 0 AS contested, o_orderkey % 7 = 0 AS undecided, s.* FROM orders LEFT JOIN s ON q = o_orderkey)
  SELECT question, CASE WHEN best IS NULL THEN NULL WHEN complete = 0 OR prior < 0.5 OR undecided THEN 'low' WHEN contested THEN 'medium' WHEN breadth >= 3 THEN 'high' ELSE 'medium' END AS band,
@@ -313,7 +313,7 @@ def _(spark, d):
         F.col("o_orderkey").alias("question"), F.expr("CASE o_orderkey % 4 WHEN 0 THEN 0.4D ELSE 0.7D END").alias("prior"), F.array(F.lit("cause"), F.lit("affected")).alias("required"),
         F.expr("o_orderkey % 5 = 0").alias("contested"), F.expr("o_orderkey % 7 = 0").alias("undecided"))
     roles = F.expr("CASE l_partkey % 3 WHEN 0 THEN array('cause', 'affected', 'x') WHEN 1 THEN array('cause') ELSE array('x') END")
-    answers = table(spark, d, "lineitem").filter("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("question"), roles.alias("roles"), F.col("l_linenumber").alias("platforms"))
+    answers = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("question"), roles.alias("roles"), F.col("l_linenumber").alias("platforms"))
     return K.band_questions(questions, answers)
 
 

@@ -238,17 +238,23 @@ def _(spark, d):
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-CAPPED = r""", keep AS (SELECT *, row_number() OVER (PARTITION BY sha, path ORDER BY pos) AS n FROM patches WHERE regexp_matches(line, '^(@@ -\d|[+\\-])')),
- capped AS (SELECT sha, path, n, CASE WHEN strlen(line) > 200 THEN concat(line[1], '<line omitted: ', strlen(line), ' bytes>') ELSE line END AS line, strlen(line) > 200 AS omitted
+CAPPED = r""", keep AS (SELECT *, row_number() OVER (PARTITION BY sha, path ORDER BY pos) AS n, count(*) OVER (PARTITION BY sha, path) AS n_lines FROM patches WHERE regexp_matches(line, '^(@@ -\d|[+\\-])')),
+ capped AS (SELECT sha, path, n, CASE WHEN strlen(line) > 200 THEN concat(line[1], '<line omitted: ', strlen(line), ' bytes>') ELSE line END AS line, strlen(line) > 200 AS omitted, n_lines, n_lines > 12 AS truncated
    FROM keep WHERE n <= 12)"""
 
 
-@query("w12_line_caps", cte("patches") + CAPPED + " SELECT sha, path, n, md5(line) AS line, omitted FROM capped")
+@query("w12_line_caps", cte("patches") + CAPPED + " SELECT sha, path, n, md5(line) AS line, omitted, n_lines, truncated FROM capped")
 def _(spark, d):
     rows = D.cap_lines(D.patch_lines(view(spark, d, "patches")), max_lines=12, max_bytes=200)
     return rows.withColumn("line", F.md5("line")).withColumn("n", F.col("n").cast("bigint"))
 
 
+@query("w12_lines_whole", cte("patches") + CAPPED.split(",\n capped AS")[0] + " SELECT sha, path, n, md5(line) AS line, n_lines FROM keep")
+def _(spark, d):
+    rows = D.cap_lines(D.patch_lines(view(spark, d, "patches"))).select("sha", "path", "n", "line", "n_lines")
+    return rows.withColumn("line", F.md5("line")).withColumn("n", F.col("n").cast("bigint"))
+
+
 @query("w12_commit_budget", cte("patches").replace("WITH", "WITH RECURSIVE", 1) + CAPPED + """, seqd AS (SELECT sha // 4 AS c, sha AS file_no, n, strlen(line) + 1 AS size,
    row_number() OVER (PARTITION BY sha // 4 ORDER BY sha, n) AS i FROM capped),
  walk(c, i, file_no, remaining, stopped, took) AS (SELECT c, i, file_no, CASE WHEN size <= 1500 THEN 1500 - size ELSE 1500 END, size > 1500, size <= 1500 FROM seqd WHERE i = 1
@@ -256,7 +262,7 @@ def _(spark, d):
    CASE WHEN NOT (w.stopped AND w.file_no = s.file_no) AND s.size <= w.remaining THEN w.remaining - s.size ELSE w.remaining END,
    (w.stopped AND w.file_no = s.file_no) OR s.size > w.remaining,
    NOT (w.stopped AND w.file_no = s.file_no) AND s.size <= w.remaining FROM walk w JOIN seqd s ON s.c = w.c AND s.i = w.i + 1)
- SELECT c AS sha, file_no, CAST(count(*) FILTER (took) AS BIGINT) AS kept, bool_or(stopped) AS truncated FROM walk GROUP BY c, file_no""")
+ SELECT c AS sha, file_no, CAST(count(*) FILTER (took) AS BIGINT) AS kept, bool_or(stopped) AS truncated, count(*) AS n_lines FROM walk GROUP BY c, file_no""")
 def _(spark, d):
     rows = D.cap_lines(D.patch_lines(view(spark, d, "patches")), max_lines=12, max_bytes=200)
     return D.commit_budget(rows.select(F.floor(F.col("sha") / 4).alias("sha"), F.col("sha").alias("file_no"), "n", "line"), budget=1500)
@@ -279,7 +285,7 @@ def _(spark, d):
  r AS (SELECT *, pos - nth = min(pos) OVER (PARTITION BY sha, path, kind) - 1 AS first FROM c)
  SELECT sha, path, kind, min(CASE kind WHEN 'added' THEN new_lineno ELSE old_lineno END) AS line_start,
   max(CASE kind WHEN 'added' THEN new_lineno ELSE old_lineno END) AS line_end, md5(string_agg(content, chr(10) ORDER BY pos)) AS quote
- FROM r WHERE first AND nth <= 6 GROUP BY sha, path, kind""")
+ FROM r WHERE first GROUP BY sha, path, kind""")
 def _(spark, d):
     return D.first_runs(D.number_lines(D.patch_lines(view(spark, d, "patches")))).withColumn("quote", F.md5("quote"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,10 @@ def local_session(cpus: int | None = None, app: str = "tidemark", shuffle: int |
         .config("spark.sql.shuffle.partitions", str(shuffle or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # Few large files of long texts still make a task for each core.
+        .config("spark.sql.files.minPartitionNum", str(cpus))
+        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -28,12 +33,14 @@ def local_session(cpus: int | None = None, app: str = "tidemark", shuffle: int |
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set and all runs in one process."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 
@@ -43,12 +50,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan over at least as many tasks as there are cores.
-
-    A few large files make a few tasks, which is too few for costly per-row work such as patterns over
-    long texts. A scan that has enough tasks already is left alone, so large tables are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -92,8 +92,3 @@ def image_files(files: DataFrame) -> DataFrame:
     return row.filter((F.size("bases") > 0) | (F.size("includes") > 0) | (F.col("apt_mentions") > 0)).select(
         "path", F.slice("bases", 1, FROM_KEPT).alias("bases"), F.slice("includes", 1, INCLUDES_KEPT).alias("includes"), "apt_mentions"
     )
-
-
-def decoded(value: Column) -> Column:
-    """Bytes as text; what is no UTF-8 is replaced, so that every output is valid."""
-    return F.decode(value, "UTF-8")
