@@ -159,8 +159,9 @@ def hash_sample(pool: DataFrame, salt: str, quota: int, usable: Column | None =
 def mentions(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, kind, entity, via) of vocabulary names in texts: whole words, or parts of a [tag].
 
-    A hyphen and an underscore belong to a word. Names meet texts by equality on the longest word of the
-    name; the full name is then checked in place. ``texts(id, text)``, ``vocabulary(kind, entity, name)``.
+    A hyphen and an underscore belong to a word. Names meet the words of texts by equality on the longest word of the
+    name, which settles names of one word; only for the others is the text looked up again and the full name
+    checked in place. ``texts(id, text)``, ``vocabulary(kind, entity, name)``.
     """
     low = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     names = vocabulary.select("kind", "entity", F.lower("name").alias("name")).distinct()
@@ -171,10 +172,9 @@ def mentions(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     longest = F.aggregate(words, F.lit(""), lambda best, word: F.when(F.length(word) > F.length(best), word).otherwise(best))
     keyed = names.filter(~F.col("name").isin(*TAG_ONLY)).withColumn("word", longest).filter("word <> ''")
     spelled = F.concat(F.lit(r"(?<![a-z0-9_-])\Q"), "name", F.lit(r"\E(?![a-z0-9_-])"))
-    whole = (
-        low.select("id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9_-]+"), 0))).alias("word"))
-        .join(keyed, "word").filter(F.call_function("rlike", "text", spelled))
-    )
+    met = low.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9_-]+"), 0))).alias("word")).join(keyed, "word")
+    longer = met.filter("name <> word").join(low, "id").filter(F.call_function("rlike", "text", spelled))
+    whole = met.filter("name = word").select("id", "kind", "entity").union(longer.select("id", "kind", "entity"))
     found = tagged.select("id", "kind", "entity", F.lit("subject_tag").alias("via")).unionByName(
         whole.select("id", "kind", "entity", F.lit("subject").alias("via"))
     )

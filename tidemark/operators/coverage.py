@@ -180,19 +180,22 @@ def coverage(wanted: DataFrame, entities: DataFrame, groups: DataFrame, keep: Se
     decided = declared.filter("arch <> ''").join(
         groups.select(F.col("family"), F.col("arch"), F.col("name").alias("job_group")).distinct(), ["family", "arch"]
     ).groupBy("id").agg(F.array_sort(F.collect_set("job_group")).alias("job_groups"))
-    known = entities.select("id", "arch", "families").withColumn("_known", F.lit(True))
-    row = wanted.select(*keep, "id").distinct().join(known, "id", "left").join(hits, "id", "left").join(maybe, "id", "left").join(
-        decided, "id", "left"
-    )
+    known = entities.select("id", "arch", "families")
+    # The answer depends on the entity alone, so it is found once for each and joined once.
+    row = known.join(hits, "id", "left").join(maybe, "id", "left").join(decided, "id", "left")
     status = F.when(F.col("_built"), "covered").when(F.col("_maybe"), "ambiguous").otherwise("uncovered")
     resolution = F.when(
         status == "ambiguous",
         F.when(F.size("job_groups") > 0, "covered").when(F.coalesce("arch", F.lit("")) != "", "uncovered").otherwise("undetermined"),
     )
-    return row.select(
-        *keep, "id", status.alias("status"), resolution.alias("resolution"),
+    answers = row.select(
+        "id", status.alias("_status"), resolution.alias("resolution"),
         F.when(status == "ambiguous", F.coalesce("job_groups", F.array().cast("array<string>"))).alias("job_groups"),
-        (F.col("_known").isNull() | ((status == "uncovered") & (F.size("families") == 0))).alias("unknown"), "arch", "families",
+        ((status == "uncovered") & (F.size("families") == 0)).alias("_unknown"), "arch", "families",
+    )
+    return wanted.select(*keep, "id").distinct().join(answers, "id", "left").select(
+        *keep, "id", F.coalesce("_status", F.lit("uncovered")).alias("status"), "resolution", "job_groups",
+        F.coalesce("_unknown", F.lit(True)).alias("unknown"), "arch", "families",
     )
 
 

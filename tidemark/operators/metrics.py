@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import dense_index, running_in_order
+from .prefix import running_in_order
 
 # Fixed values.
 EFFORT_SHARE = 0.2
@@ -125,15 +126,20 @@ def confusion(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def pick_threshold(df: DataFrame, keys: Sequence[str] = (), grid: Sequence[float] = THRESHOLDS) -> DataFrame:
     """The grid threshold with the best F1; a later threshold wins against the best one rounded to 4 places.
 
-    Each row counts once per grid point in one aggregation; only the few grid results per group are
-    folded in threshold order.
+    Rows are counted by how many grid points they reach; running totals over those few cells give the counts at
+    every threshold, which are folded in order.
     """
     df, by = _keyed(df, keys)
-    tried = df.withColumn("t", F.explode(F.array(*[F.lit(float(step)) for step in grid])))
-    hit = F.col("score") >= F.col("t")
+    steps = sorted(float(step) for step in grid)
+    # How many grid points lie at or below the score; a null score counts nowhere.
+    reached = F.when(F.col("score").isNotNull(), sum((F.col("score") >= step).cast("int") for step in steps))
+    cells = df.withColumn("_reached", reached).groupBy(*by, "_reached").agg(
+        F.count_if(F.col("y") == 1).alias("_ones"), F.count_if(F.col("y") == 0).alias("_zeros"))
+    tried = cells.select("*", F.posexplode(F.array(*[F.lit(step) for step in steps])).alias("_at", "t"))
+    hit, none = F.col("_reached") > F.col("_at"), F.lit(0)
     counts = tried.groupBy(*by, "t").agg(
-        F.count_if(hit & (F.col("y") == 1)).alias("tp"), F.count_if(hit & (F.col("y") == 0)).alias("fp"),
-        F.count_if(~hit & (F.col("y") == 1)).alias("fn"),
+        F.sum(F.when(hit, F.col("_ones")).otherwise(none)).alias("tp"), F.sum(F.when(hit, F.col("_zeros")).otherwise(none)).alias("fp"),
+        F.sum(F.when(~hit, F.col("_ones")).otherwise(none)).alias("fn"),
     )
     precision, recall, f1 = _f1(F.col("tp"), F.col("fp"), F.col("fn"))
     steps = counts.select(*by, F.struct(F.col("t"), f1.alias("f1"), precision.alias("p"), recall.alias("r")).alias("s"))
@@ -156,22 +162,28 @@ def pick_threshold(df: DataFrame, keys: Sequence[str] = (), grid: Sequence[float
     )
 
 
+def poisson_weight(draw: str) -> str:
+    """SQL for a Poisson(1) count from a uniform 32-bit number; both engines can run it."""
+    bounds, total, term = [], 0.0, math.exp(-1)
+    for count in range(12):
+        total += term
+        bounds.append(f"WHEN {draw} < {round(total * 2**32)} THEN {count}")
+        term /= count + 1
+    return f"CASE {' '.join(bounds)} ELSE 12 END"
+
+
 def bootstrap(df: DataFrame, samples: int = 1000, seed: int = 0, tie: str = "row_id") -> DataFrame:
     """Percentile intervals of the ranking metrics and the Brier score over resampled rows.
 
-    Draw i of sample b takes the row at hash(seed, b, i) mod n, so the same rows are drawn whatever
-    the partitioning. Equal draws collapse to a weight before they meet the rows.
+    Each sample takes each row Poisson(1) times, drawn from a hash of seed, sample and ``tie``; this stands for
+    drawing n of n rows with replacement and needs neither an order nor a join. Rows add up to one weight per
+    sample, score and outcome before anything is shuffled.
     """
-    rows = dense_index(df.select("y", "score", tie), [tie], out="_at")
-    total = df.agg(F.count(F.lit(1))).scalar()
     draws = (
-        rows.select(F.col("_at").alias("_i"), total.alias("_n"))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-        .withColumn("_hash", F.sha2(F.concat_ws(":", F.lit(seed), "b", "_i"), 256))
-        .withColumn("_at", F.conv(F.substring("_hash", 1, 8), 16, 10).cast("bigint") % F.col("_n"))
-        .groupBy("b", "_at").agg(F.count(F.lit(1)).alias("_w"))
+        df.select("y", "score", F.col(tie).alias("_tie"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
+        .withColumn("_u", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "_tie")), 1, 8), 16, 10).cast("bigint"))
     )
-    drawn = draws.join(rows, "_at").select("b", "y", "score", "_w")
+    drawn = draws.select("b", "y", "score", F.expr(poisson_weight("_u")).alias("_w")).filter("_w > 0").groupBy("b", "y", "score").agg(F.sum("_w").alias("_w"))
     error = drawn.groupBy("b").agg(
         (F.sum(F.col("_w") * F.pow(F.col("score") - F.col("y"), F.lit(2.0))) / F.sum("_w")).alias("brier")
     )

@@ -86,10 +86,9 @@ def _(spark, d):
     return counts.select("source", *M.rate(F.col("k"), F.col("n"), "bad"))
 
 
-@query("a18_bootstrap_intervals", cte("scored") + """, ids AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS total FROM scored),
- draws AS (SELECT b, ('0x' || substr(sha256(concat('7:', b, ':', i)), 1, 8))::BIGINT % total AS j, count(*) AS w
-   FROM ids, range(0, 1000) AS r(b) GROUP BY ALL),
- drawn AS (SELECT d.b, s.y, s.score, d.w FROM draws d JOIN ids s ON s.i = d.j),""" + ranking_sql("drawn", "b", "w") + """,
+@query("a18_bootstrap_intervals", cte("scored") + """,
+ draws AS (SELECT b, y, score, ('0x' || substr(md5(concat('7:', b, ':', row_id)), 1, 8))::BIGINT AS u FROM scored, range(0, 1000) AS r(b)),
+ drawn AS (SELECT b, y, score, w FROM (SELECT b, y, score, """ + M.poisson_weight("u") + """ AS w FROM draws) WHERE w > 0),""" + ranking_sql("drawn", "b", "w") + """,
  vals AS (SELECT 'pr_auc' AS metric, round(ap, 12) AS value FROM ranked UNION ALL SELECT 'roc_auc', round(auc, 12) FROM ranked
    UNION ALL SELECT 'brier', sum(w * pow(score - y, 2)) / sum(w) FROM drawn GROUP BY b)
  SELECT metric, CAST(count(value) AS BIGINT) AS samples, round(quantile_cont(value, 0.025), 6) AS ci_low,
