@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, directory
 from ..functions.text import PR_SUFFIX, REVERTS_SHA, number
 from ..session import checkpointed
 from .metrics import rate, upper_median

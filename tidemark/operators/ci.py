@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import PathRules, extension
-from .prefix import dense_index
 
 # Sources whose path lists cannot be trusted.
 UNUSABLE_SOURCES = ("unresolved", "fetch_failed", "diff_failed")

@@ -139,11 +139,8 @@ def _(spark, d):
     return H.recent_experience(facts(spark, d)).select("sha", "author_recent_experience")
 
 
-@query("w07_file_history", cte("facts", "changes") + f""",
- ev AS (SELECT f.idx, c.path, c.status, f.author_id, f.fix_like, f.landed FROM changes c JOIN facts f USING (sha)),
- sizes AS (SELECT idx, count(*) AS n FROM ev GROUP BY idx),
- reads AS (SELECT DISTINCT idx, path FROM ev WHERE status <> 'A'),
- pairs AS (SELECT r.idx, r.path, e.idx AS before, e.author_id, e.fix_like, e.landed FROM reads r
+# From events (idx, path, author_id, fix_like, landed), reads (idx, path) and sizes (idx, n) to the features of each commit.
+HISTORY_TAIL = f""" pairs AS (SELECT r.idx, r.path, e.idx AS before, e.author_id, e.fix_like, e.landed FROM reads r
    JOIN ev e ON e.path = r.path AND e.idx < r.idx),
  unions AS (SELECT idx, count(DISTINCT before) AS changes, count(DISTINCT author_id) AS authors,
    count(DISTINCT CASE WHEN fix_like THEN before END) AS fixes FROM pairs GROUP BY idx),
@@ -157,7 +154,14 @@ def _(spark, d):
   round(p.age, 3) AS file_days_since_last_change,
   CASE WHEN coalesce(z.n, 0) > 0 THEN round(1 - coalesce(p.live, 0) / CAST(z.n AS DOUBLE), 6) ELSE 0 END AS file_new_share
  FROM facts f LEFT JOIN sizes z ON z.idx = f.idx LEFT JOIN unions u ON u.idx = f.idx
- LEFT JOIN per_commit p ON p.idx = f.idx""")
+ LEFT JOIN per_commit p ON p.idx = f.idx"""
+
+
+@query("w07_file_history", cte("facts", "changes") + """,
+ ev AS (SELECT f.idx, c.path, c.status, f.author_id, f.fix_like, f.landed FROM changes c JOIN facts f USING (sha)),
+ sizes AS (SELECT idx, count(*) AS n FROM ev GROUP BY idx),
+ reads AS (SELECT DISTINCT idx, path FROM ev WHERE status <> 'A'),
+""" + HISTORY_TAIL)
 def _(spark, d):
     f = facts(spark, d)
     events = view(spark, d, "changes").join(f.select("sha", "idx"), "sha")

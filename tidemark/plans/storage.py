@@ -14,6 +14,7 @@ from ..sources import history_text as X
 from ..sources import trees
 from ..session import checkpoint_dir, checkpointed
 from .registering import Collector
+from .history import HISTORY_TAIL
 from .review import INCIDENTS, incidents
 from .views import cte, facts, table, view
 
@@ -181,13 +182,36 @@ def renames(spark, d):
                        F.when(status == "R", other).when(status != "D", path).alias("new_path"))
 
 
-@query("w06_lineages")
+LINEAGE_CTES = """,
+ per AS (SELECT f.idx, l_partkey AS seq, min(l_suppkey) % 10 AS k, concat('p/', l_partkey // 3, '/', l_partkey % 3) AS path,
+   concat('p/', l_partkey // 3, '/', (l_partkey + 1) % 3) AS other FROM lineitem JOIN facts f ON f.sha = l_orderkey GROUP BY f.idx, l_partkey),
+ ch AS (SELECT idx, row_number() OVER (ORDER BY idx, seq) - 1 AS pos, CASE k WHEN 0 THEN 'R' WHEN 1 THEN 'D' WHEN 2 THEN 'A' ELSE 'M' END AS status,
+   CASE WHEN k <> 2 THEN path END AS old_path, CASE k WHEN 0 THEN other WHEN 1 THEN NULL ELSE path END AS new_path FROM per),
+ ev0 AS (SELECT idx, pos, old_path AS path, 1 AS ends, 'parent' AS role FROM ch WHERE status = 'R' UNION ALL SELECT idx, pos, new_path, 1, 'child' FROM ch WHERE status = 'R'
+   UNION ALL SELECT idx, pos, old_path, 1, 'touch' FROM ch WHERE status = 'D' UNION ALL SELECT idx, pos, coalesce(new_path, old_path), 0, 'touch' FROM ch WHERE status NOT IN ('R', 'D')),
+ asked AS (SELECT idx, min(pos) OVER (PARTITION BY idx) AS pos, old_path AS path, status FROM ch),
+ marks AS (SELECT path, pos, sum(ends) AS ends FROM (SELECT path, pos, ends FROM ev0 UNION ALL SELECT path, pos, 0 FROM asked WHERE status <> 'A') GROUP BY path, pos),
+ lives AS (SELECT path, pos, coalesce(sum(ends) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM marks),
+ placed AS (SELECT e.idx, e.pos, e.role, concat(e.path, chr(0), CAST(v.life + CASE e.role WHEN 'child' THEN 1 ELSE 0 END AS BIGINT)) AS node FROM ev0 e JOIN lives v ON v.path = e.path AND v.pos = e.pos),
+ ups AS (SELECT a.node, b.node AS up FROM placed a JOIN placed b ON a.pos = b.pos AND a.role = 'child' AND b.role = 'parent'),
+ climb(node, up) AS (SELECT node, up FROM ups UNION ALL SELECT c.node, u.up FROM climb c JOIN ups u ON u.node = c.up),
+ roots AS (SELECT node, up FROM climb WHERE up NOT IN (SELECT node FROM ups)),
+ touched AS (SELECT p.idx, coalesce(r.up, p.node) AS lineage FROM placed p LEFT JOIN roots r ON r.node = p.node WHERE p.role <> 'parent')"""
+
+
+@query("w06_lineages", cte("facts").replace("WITH", "WITH RECURSIVE", 1) + LINEAGE_CTES + """
+ SELECT lineage, count(*) AS touches, min(idx) AS first, max(idx) AS last FROM touched GROUP BY lineage""")
 def _(spark, d):
     touches, _reads = N.lineages(renames(spark, d))
     return touches.groupBy("lineage").agg(F.count(F.lit(1)).alias("touches"), F.min("idx").alias("first"), F.max("idx").alias("last"))
 
 
-@query("w07_file_history_with_renames")
+@query("w07_file_history_with_renames", cte("facts").replace("WITH", "WITH RECURSIVE", 1) + LINEAGE_CTES + """,
+ ev AS (SELECT t.idx, t.lineage AS path, f.author_id, f.fix_like, f.landed FROM touched t JOIN facts f USING (idx)),
+ sizes AS (SELECT idx, count(*) AS n FROM ch GROUP BY idx),
+ reads AS (SELECT DISTINCT n.idx, coalesce(r.up, n.node) AS path FROM (SELECT a.idx, concat(a.path, chr(0), CAST(v.life AS BIGINT)) AS node
+   FROM asked a JOIN lives v ON v.path = a.path AND v.pos = a.pos WHERE a.status <> 'A') n LEFT JOIN roots r ON r.node = n.node),
+""" + HISTORY_TAIL)
 def _(spark, d):
     changes = checkpointed(renames(spark, d))
     touches, reads = N.lineages(changes)
