@@ -11,21 +11,24 @@ whose estimate may reach the threshold are then verified on their full sets.
 No step forms all pairs of a bucket:
 
 * documents with the same set are one class from the start;
-* every member of a bucket is first held against one pivot of it;
-* after that only members outside the largest component of a bucket are held against the others, in blocks
-  of bounded size, and only pairs of different components whose estimate is high enough leave the block;
-* the best of these are verified first, so most others fall away because their ends are connected by then.
+* every member of a bucket is first held against one pivot of it, and the best of these pairs are verified;
+* then members outside the largest component of a bucket are held against the others, in blocks of bounded size, and
+  the best pairs that lead into each other component are verified;
+* documents connected by pairs that may be similar enough, verified or not, form a family. In families that still have
+  several components, members outside the largest one are held against the others once more, in blocks with
+  their full sets, and only links leave a block.
 
 Every pair that shares a band, may be similar enough and isn't connected otherwise is verified in the end, so the
-components are those of all links that the bands can see. At similarity 0.8 a pair has no common band with
-a probability of 1e-8, and an estimate below the floor with one of about 1e-4.
+components are those of all links that the bands can see. At similarity 0.8 exactly, a pair has no common band
+with a probability of about 1e-5, and an estimate below the floor with one of about 1e-4.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import partial, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,21 +40,26 @@ from .graph import components
 from .windows import Rolling, byte_units, mixed
 
 REGISTERS = 128
-ROWS = 4
-BANDS = REGISTERS // ROWS
+ROWS = 6
+BANDS = 48
 BASE = 1.2
 RATE = 20.0
 # Estimates below the threshold by this much are not verified: about four standard errors at 0.8.
 SLACK = 0.13
 # Members of a bucket on either side of one block.
-BLOCK = 1024
+BLOCK = 512
+# Pairs compared and pairs estimated by one round of array operations.
+PAIRS = 1 << 16
+SLICE = 1 << 11
 # Of each member and foreign component, so many pairs are verified before the rest.
 BEST = 2
 
+CELL = ["bucket", "row", "column"]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _FLIP = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64))
 _TIMES = mixed(np.arange(1001, REGISTERS + 1001, dtype=np.uint64)) | np.uint64(1)
+_BAND = np.concatenate([np.random.default_rng(at).permutation(REGISTERS)[: REGISTERS // ROWS * ROWS].reshape(-1, ROWS) for at in range(-(-BANDS * ROWS // REGISTERS) + 1)])[:BANDS]
 SIGNED = "key bigint, mark int, n bigint, digest binary, registers binary, bands array<bigint>"
 
 
@@ -90,14 +98,15 @@ def shingle_sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tupl
 
 
 def _sign(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    offset = np.arange(BANDS, dtype=np.int64) << 32
+    place = np.arange(ROWS, dtype=np.int64) * 8
+    offset = np.arange(BANDS, dtype=np.int64) << 48
     for batch, sets in shingle_sets(batches, width):
         drawn = [registers(one) for one in sets]
         yield table({
             "key": (batch.column("key"), None), "mark": (batch.column("mark"), None), "n": ([len(one) for one in sets], pa.int64()),
             "digest": ([hashlib.blake2b(one.tobytes(), digest_size=16).digest() for one in sets], pa.binary()),
             "registers": ([one.tobytes() for one in drawn], pa.binary()),
-            "bands": ([offset + one.view(np.uint32) for one in drawn], pa.list_(pa.int64())),
+            "bands": ([offset + (one[_BAND].astype(np.int64) << place).sum(1) for one in drawn], pa.list_(pa.int64())),
         })
 
 
@@ -108,6 +117,8 @@ def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 def estimated(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
     """Maximum-likelihood similarity of pairs from their registers (rows) and set sizes."""
+    if len(left) > SLICE:
+        return np.concatenate([estimated(*[part[at: at + SLICE] for part in (left, right, n_left, n_right)]) for at in range(0, len(left), SLICE)])
     more = (left > right).sum(1)
     less = (left < right).sum(1)
     same = REGISTERS - more - less
@@ -133,71 +144,105 @@ def _estimate(batches: Iterable[pa.RecordBatch], floor: float) -> Iterator[pa.Re
         yield table({"a": (batch.column("a").filter(pa.array(keep)), None), "b": (batch.column("b").filter(pa.array(keep)), None), "estimate": (found[keep], pa.float64())})
 
 
+def _linked(left: pa.Scalar, right: pa.Scalar, percent: int) -> bool:
+    one, two = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _verify(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for left, right in zip(batch.column("e_a"), batch.column("e_b")):
-            one, two = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            keep.append(100 * both >= percent * (len(one) + len(two) - both))
+        keep = [_linked(left, right, percent) for left, right in zip(batch.column("e_a"), batch.column("e_b"))]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with equal keys, from batches that are sorted by them."""
+def _whole(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows, sorted by ``keys``, in pieces that hold whole groups, with the number of each row's group."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
             continue
-        held.append(batch)
-        whole = pa.Table.from_batches(held).combine_chunks()
-        columns = [whole.column(name).to_numpy() for name in keys]
-        cuts = np.flatnonzero(np.logical_or.reduce([one[1:] != one[:-1] for one in columns])) + 1
-        edges = [0, *cuts.tolist()]
-        for first, last in zip(edges, edges[1:]):
-            yield whole.slice(first, last - first).to_batches()[0]
-        held = whole.slice(edges[-1]).to_batches()
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _across(batches: Iterable[pa.RecordBatch], floor: float, threshold: float, best: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block, one side outside the bucket's largest component, with an estimate of at least ``floor``."""
-    for block in _grouped(batches, ["bucket", "row", "column"]):
-        node, comp, n = (block.column(name).to_numpy() for name in ("node", "comp", "n"))
-        sketch, side = _matrix(block.column("registers")), block.column("side").to_numpy()
-        order = np.flatnonzero(side & 2)
-        order = order[np.argsort(n[order], kind="stable")]
-        for at in np.flatnonzero(side & 1):
-            first = np.searchsorted(n[order], np.ceil(n[at] * threshold - 1e-9), "left")
-            last = np.searchsorted(n[order], np.floor(n[at] / threshold + 1e-9), "right")
-            other = order[first:last]
-            other = other[comp[other] != comp[at]]
-            if not len(other):
-                continue
-            other = other[(sketch[other] == sketch[at]).sum(1) >= (floor - 0.1) * REGISTERS]
-            if not len(other):
-                continue
-            guess = estimated(np.broadcast_to(sketch[at], (len(other), REGISTERS)), sketch[other], np.full(len(other), float(n[at])), n[other].astype(float))
-            good = guess >= floor
-            other, guess = other[good], guess[good]
-            if best is not None and len(other):
-                rank = np.lexsort([-guess, comp[other]])
-                other, guess = other[rank], guess[rank]
-                new = np.concatenate([[True], comp[other][1:] != comp[other][:-1]])
-                nth = np.arange(len(other)) - np.maximum.accumulate(np.where(new, np.arange(len(other)), 0))
-                other = other[nth < best]
-            if len(other):
-                mine = np.full(len(other), node[at])
-                yield table({"a": (np.minimum(mine, node[other]), pa.int64()), "b": (np.maximum(mine, node[other]), pa.int64())})
+        rows = pa.Table.from_batches([*held, *([] if batch is None else [batch])]) if held or batch is not None else None
+        if rows is None:
+            return
+        columns = [rows.column(name).to_numpy() for name in keys]
+        new = np.concatenate([[0], np.logical_or.reduce([one[1:] != one[:-1] for one in columns])]).astype(bool)
+        last = len(new) if batch is None else int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if last:
+            yield rows.slice(0, last).combine_chunks(), np.cumsum(new[:last])
+        held = rows.slice(last).to_batches()
+
+
+def _plausible(rows: pa.Table, group: np.ndarray, floor: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of side 1, row of side 2, estimate) of pairs of different components of a group that reach ``floor``; all of a row at once."""
+    node, comp, n, side = (rows.column(name).to_numpy() for name in ("node", "comp", "n", "side"))
+    sketch = _matrix(rows.column("registers"))
+    aside, whole = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    many = np.bincount(group[whole], minlength=group[-1] + 1)
+    begin = np.cumsum(many) - many
+    pairs = many[group[aside]]
+    upto = np.cumsum(pairs)
+    first = 0
+    while first < len(aside):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] - pairs[first] + PAIRS, "right")))
+        mine, count = aside[first:last], pairs[first:last]
+        one = np.repeat(mine, count)
+        two = whole[np.repeat(begin[group[mine]] - (np.cumsum(count) - count), count) + np.arange(len(one))]
+        fits = (comp[one] != comp[two]) & (np.minimum(n[one], n[two]) >= threshold * np.maximum(n[one], n[two]) - 1e-9)
+        one, two = one[fits], two[fits]
+        alike = (sketch[one] == sketch[two]).sum(1) >= (floor - 0.1) * REGISTERS
+        one, two = one[alike], two[alike]
+        guess = estimated(sketch[one], sketch[two], n[one].astype(float), n[two].astype(float))
+        good = guess >= floor
+        one, two, guess = one[good], two[good], guess[good]
+        yield one, two, guess
+        first = last
+
+
+def _across(batches: Iterable[pa.RecordBatch], floor: float, threshold: float, best: int) -> Iterator[pa.RecordBatch]:
+    """Of each member outside a bucket's largest component the ``best`` pairs into each other component there."""
+    for rows, group in _whole(batches, CELL):
+        node, comp = rows.column("node").to_numpy(), rows.column("comp").to_numpy()
+        for one, two, guess in _plausible(rows, group, floor, threshold):
+            rank = np.lexsort([node[two], -guess, comp[two], one])
+            one, two = one[rank], two[rank]
+            new = np.ones(len(one), bool)
+            new[1:] = (one[1:] != one[:-1]) | (comp[two][1:] != comp[two][:-1])
+            place = np.arange(len(one))
+            top = place - np.maximum.accumulate(np.where(new, place, 0)) < best
+            one, two = one[top], two[top]
+            yield table({"a": (np.minimum(node[one], node[two]), pa.int64()), "b": (np.maximum(node[one], node[two]), pa.int64())})
+
+
+def _settle(batches: Iterable[pa.RecordBatch], floor: float, threshold: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between the components of a family, verified on full sets; those that connect nothing new are left out."""
+    for rows, group in _whole(batches, CELL):
+        node, comp, sets = rows.column("node").to_numpy(), rows.column("comp").to_numpy(), rows.column("elements").combine_chunks()
+        found: list[tuple[int, int]] = []
+        over: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in over:
+                x = over[x]
+            return x
+
+        for one, two, guess in _plausible(rows, group, floor, threshold):
+            for at in np.argsort(-guess, kind="stable").tolist():
+                left, right = int(one[at]), int(two[at])
+                x, y = top(int(comp[left])), top(int(comp[right]))
+                if x != y and _linked(sets[left], sets[right], percent):
+                    over[max(x, y)] = min(x, y)
+                    found.append((int(node[left]), int(node[right])))
+        yield table({"a": ([min(pair) for pair in found], pa.int64()), "b": ([max(pair) for pair in found], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
     """One row per document: key, mark, n_shingles, component (the smallest key reachable over links, itself included).
 
     Documents are linked when 100 * shared shingles >= ``percent`` * shingles of either. Null and empty texts and
-    texts of blanks have no shingles and no links. Rows that repeat an id are one node, so they share a component; a
-    null id counts as the largest. Other columns of ``docs`` are not read.
+    texts of blanks have no shingles and no links. Rows that repeat an id are one node, so they share a component, and one
+    of their texts stands for them when links are sought; a null id counts as the largest. Other columns of ``docs``
+    are not read.
     """
     threshold, keyed = percent / 100, row_keys(docs)
     signed = landed(keyed.mapInArrow(partial(_sign, width=width), SIGNED), "sketches")
@@ -218,13 +263,21 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, slack: f
     first = Window.partitionBy("b").orderBy(F.desc("estimate"), "a")
     pairs = landed(guessed.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= BEST).select("a", "b"), "pairs")
 
-    wanted = held.select(F.col("node").alias("key")).distinct().join(heads.select(F.col("node").alias("key"), "mark"), "key")
-    sets = landed(
-        keyed.join(wanted, ["key", "mark"], "left_semi").select(F.col("key").alias("node"), "text").mapInArrow(partial(_sets, width=width), "node bigint, elements binary")
-        .dropDuplicates(["node"]), "sets")
+    sets: list[DataFrame] = []
+
+    def built(nodes: DataFrame) -> DataFrame:
+        """The sets of ``nodes`` and others; each is built once, when it is first asked for."""
+        for known in sets:
+            nodes = nodes.join(known.select("node"), "node", "left_anti")
+        wanted = landed(heads.join(nodes, "node", "left_semi").select(F.col("node").alias("key"), "mark"), "wanted")
+        nth = F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.lit(1)))
+        texts = keyed.join(wanted, ["key", "mark"], "left_semi").withColumn("nth", nth).filter("nth = 1").select(F.col("key").alias("node"), "text")
+        sets.append(landed(texts.mapInArrow(partial(_sets, width=width), "node bigint, elements binary"), "sets"))
+        return reduce(DataFrame.unionByName, sets)
 
     def verified(some: DataFrame) -> DataFrame:
-        one, two = (sets.select(F.col("node").alias(x), F.col("elements").alias(f"e_{x}")) for x in "ab")
+        every = built(some.select(F.col("a").alias("node")).union(some.select(F.col("b").alias("node"))).distinct())
+        one, two = (every.select(F.col("node").alias(x), F.col("elements").alias(f"e_{x}")) for x in "ab")
         return landed(some.join(two, "b").join(one, "a").mapInArrow(partial(_verify, percent=percent), "a bigint, b bigint"), "links")
 
     def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -239,30 +292,45 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, slack: f
         every = labels.select("node", "label").union(over.select("node", F.col("node").alias("label"))).dropDuplicates(["node"])
         return landed(every.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
 
-    tested = pairs
-    labels = joined(None, verified(pairs))
-    for best in (BEST, None):
-        comps = held.select("bucket", "node", "members")
-        comps = comps.join(labels, "node", "left").select("bucket", "node", "members", F.coalesce("label", "node").alias("comp")) if labels is not None else comps.withColumn("comp", F.col("node"))
-        comps = landed(comps, "bucket-components")
+    def with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return members.withColumn("comp", F.col("node"))
+        return members.join(labels, "node", "left").select(*members.columns, F.coalesce("label", "node").alias("comp"))
+
+    def blocks(members: DataFrame) -> DataFrame:
+        """Members (bucket, node, comp) of buckets with several components, dealt to the cells of a grid of blocks.
+
+        Side 1, the members outside the largest component, takes a row and all columns; side 2, all members, a column and all rows.
+        """
         largest = landed(
-            comps.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("here")).groupBy("bucket")
+            members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("here")).groupBy("bucket")
             .agg(F.max(F.struct("here", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("here").alias("total")).filter("comps > 1")
             .select("bucket", F.col("top.comp").alias("largest"), F.ceil(F.col("total") / block).cast("int").alias("columns"), F.ceil((F.col("total") - F.col("top.here")) / block).cast("int").alias("rows")), "open-buckets")
-        open_ = comps.join(largest, "bucket").join(sizes, "node")
+        dealt = members.join(largest, "bucket")
         chunk = F.xxhash64("node")
-        aside = open_.filter("comp <> largest").select(
+        aside = dealt.filter("comp <> largest").select(
             "*", F.pmod(chunk, F.col("rows").cast("bigint")).cast("int").alias("row"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
-        whole = open_.select(
+        whole = dealt.select(
             "*", F.pmod(chunk, F.col("columns").cast("bigint")).cast("int").alias("column"), F.lit(2).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
-        cells = ["bucket", "row", "column"]
-        blocks = aside.select(*cells, "side", "node", "comp", "n", "registers").unionByName(whole.select(*cells, "side", "node", "comp", "n", "registers"))
-        found = blocks.repartition(*[F.col(name) for name in cells]).sortWithinPartitions(*cells).mapInArrow(
-            partial(_across, floor=threshold - slack, threshold=threshold, best=best), "a bigint, b bigint").distinct()
-        more = landed(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-        discarded(comps)
-        tested = tested.unionByName(more)
-        labels = joined(labels, verified(more))
+        return aside.select(*CELL, "side", "node", "comp").unionByName(whole.select(*CELL, "side", "node", "comp")).join(sizes, "node")
+
+    def in_blocks(cells: DataFrame, step) -> DataFrame:
+        return cells.repartition(*[F.col(name) for name in CELL]).sortWithinPartitions(*CELL).mapInArrow(step, "a bigint, b bigint").distinct()
+
+    labels = joined(None, verified(pairs))
+    members = landed(with_components(held.select("bucket", "node"), labels), "bucket-components")
+    more = landed(in_blocks(blocks(members), partial(_across, floor=threshold - slack, threshold=threshold, best=BEST)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    labels = joined(labels, verified(more))
+    discarded(members)
+
+    # Components are connected by links among these pairs, and a plausible pair across components has one of them beside it.
+    plausible = pairs.union(more)
+    if not plausible.isEmpty():
+        members = landed(with_components(components(plausible).select(F.col("label").alias("bucket"), "node"), labels), "families")
+        cells = landed(blocks(members), "family-blocks")
+        every = built(cells.select("node").distinct())
+        step = partial(_settle, floor=threshold - slack, threshold=threshold, percent=percent)
+        labels = joined(labels, landed(in_blocks(cells.join(every, "node"), step), "links"))
 
     out = classes.select("digest", "node")
     out = out.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component")) if labels is not None else out.withColumnRenamed("node", "component")
