@@ -28,10 +28,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     keyed = lines.select("key", "mark", "place", lowered(F.trim(F.col("line"), F.lit(BLANKS))).alias("line"))
     hashed = keyed.filter(F.length("line") >= min_chars).select("key", "mark", "place", F.unhex(F.md5("line")).alias("hash"))
     held = landed(hashed, "line-hashes")
-    counted = (
+    counted = landed(
         held.select("hash", "key").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("stays"))
-        .filter(F.col("n") >= min_docs).select("hash", "stays")
-    )
+        .filter(F.col("n") >= min_docs).select("hash", "stays"), "repeated-lines")
     lost = held.join(counted, "hash").filter(F.col("key") != F.col("stays"))
     return lost.groupBy("key", "mark").agg(F.collect_set("place").alias("places"))
 
