@@ -18,8 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 # Stands for a null doc_id, which counts as later than any other.
 NO_ID = (1 << 63) - 1
-# Bytes handled by one round of array operations.
-CHUNK_BYTES = 1 << 21
+# Bytes handled by one round of array operations; a worker needs about a hundred times as much for its arrays.
+CHUNK_BYTES = 3 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -28,8 +28,10 @@ from .windows import Rolling, byte_units
 
 LENGTH = 200
 SEED = 100
-HOT = 50_000
+HOT = 1_000
 LEAD = 16
+# Stretches sorted by one round of array operations, and as many as complete a group.
+PIECE = 2_048
 STRETCH = "seed bigint, seg bigint, lead binary, ahead int, windows int, content binary"
 OUT = "key bigint, mark int, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -58,7 +60,7 @@ def _stretches(batches: Iterable[pa.RecordBatch], length: int, seed: int) -> Ite
 def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Rows in pieces that hold whole groups of ``key``, by which they are sorted."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in (batch.slice(first, PIECE) for batch in batches for first in range(0, batch.num_rows, PIECE)):
         if not batch.num_rows:
             continue
         held.append(batch)

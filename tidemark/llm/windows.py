@@ -12,9 +12,8 @@ import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-# Positions take the low bits of a key, so an array may hold this many units at most.
-PLACE_BITS = 26
-MAX_UNITS = 1 << PLACE_BITS
+# Positions take the low half of a key. That is room for any text; hashes that agree in their high half go by position.
+MAX_UNITS = 1 << 32
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
