@@ -8,6 +8,7 @@ again, so what one block lacks another fills. A sequence's number is that of its
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
@@ -43,10 +44,54 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# How a tokenizer of lower-cased words works; only such a one is taken apart.
+STEPS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in seen]
+    return {byte: chr(byte) for byte in seen} | {byte: chr(256 + at) for at, byte in enumerate(hidden)}
+
+
+class _Pieces(dict):
+    """Ids of the parts that a word is split into, as little-endian bytes; unknown ones are merged by the model."""
+
+    def __init__(self, tokenizer) -> None:
+        self._merge, self._letters = tokenizer.model.tokenize, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self._letters)
+        found = self[piece] = np.array([token.id for token in self._merge(letters)], "<u4").tobytes()
+        return found
+
+
+class _Words(dict):
+    """Ids of words (no white space). Latin-1 needs no composing, and its lower case is the same everywhere; the rest goes whole."""
+
+    def __init__(self, tokenizer) -> None:
+        import regex
+
+        self._tokenizer, self._split, self.pieces = tokenizer, regex.compile(SPLIT).findall, _Pieces(tokenizer)
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() or max(word) < "\u0100":
+            found = b"".join(map(self.pieces.__getitem__, self._split(word.lower()))) if "<|" not in word else None
+        else:
+            found = None
+        if found is None:
+            found = np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = found
+        return found
+
+
 class WordEncoder:
-    """Ids of texts as little-endian bytes, for a tokenizer whose tokens never span white space.
+    """Ids of texts as little-endian bytes.
 
-    Each distinct word is encoded once and remembered, up to a bound.
+    Tokens of a tokenizer of lower-cased words never span white space, so each distinct word is encoded once and
+    remembered, up to a bound. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,23 +99,22 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        steps = json.loads(self._tokenizer.to_str())
+        normal, split = steps.get("normalizer") or {}, (steps.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        by_words = [step.get("type") for step in normal.get("normalizers", [])] == STEPS and split[0].get("pattern") == {"Regex": SPLIT} and split[-1].get("type") == "ByteLevel"
+        self._words = _Words(self._tokenizer) if by_words else None
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(one.ids, "<u4").tobytes() for one in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) > KNOWN:
-            self._known.clear()
-        split = [None if any(mark in text for mark in _SEPARATORS) else text.split() for text in texts]
-        new: set[str] = set()
-        for words in split:
-            if words is not None:
-                new.update(words)
-        missing = list(new - self._known.keys())
-        self._known.update(zip(missing, self._encoded(missing)))
-        known = self._known.__getitem__
-        return [self._encoded([text])[0] if words is None else b"".join(map(known, words)) for text, words in zip(texts, split)]
+        if self._words is None:
+            return [self._whole(text) for text in texts]
+        for known in (self._words, self._words.pieces):
+            if len(known) > KNOWN:
+                known.clear()
+        ids = self._words.__getitem__
+        return [self._whole(text) if any(mark in text for mark in _SEPARATORS) else b"".join(map(ids, text.split())) for text in texts]
 
 
 def _encoder(path: str) -> WordEncoder:
