@@ -30,7 +30,7 @@ FAN_IN = 8
 # Tokens a sequence may lack and still count as nearly full.
 NEARLY = 8
 # Distinct words whose ids a worker keeps at hand.
-KNOWN = 400_000
+KNOWN = 800_000
 CHUNK = 1 << 21
 
 _tokenizers: dict = {}
