@@ -105,12 +105,10 @@ def _(spark, d):
 
 @query("x06_weekly_burst", """SELECT event_type, CAST(epoch(w) AS BIGINT) AS week_start, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_type, unnest(range(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS w FROM events) GROUP BY ALL""")
 def _(spark, d):
-    _path, cursor = scratch(spark)
+    path, cursor = scratch(spark)
     events = stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"burst_{uuid.uuid4().hex}"
-    burst = flows.weekly_burst(events, "event_type", "ts")
-    burst.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", cursor).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("event_type", F.unix_seconds("window.start").alias("week_start"), "n")
+    flows.replace(flows.weekly_burst(events, "event_type", "ts"), path, cursor).awaitTermination()
+    return spark.read.parquet(path).select("event_type", F.unix_seconds("window.start").alias("week_start"), "n")
 
 
 @query("s17_feed_stream", """SELECT o_orderkey AS number, concat('h', o_custkey) AS head_sha, o_orderstatus AS title FROM orders""")

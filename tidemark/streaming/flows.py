@@ -116,6 +116,14 @@ def running_count(stream: DataFrame, key: str, order: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, schema, "seen bigint", "append", "NoTimeout")
 
 
+def replace(totals: DataFrame, path: str, cursor: str):
+    """Run a stream of totals to the end of its source; every batch replaces the table, so a repeated one changes nothing."""
+    def write(frame: DataFrame, _batch: int) -> None:
+        frame.write.mode("overwrite").parquet(path)
+
+    return totals.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", cursor).trigger(availableNow=True).start()
+
+
 def weekly_burst(stream: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
     """Rows per key and sliding week, updated daily; rows later than ``late`` are dropped."""
     return stream.withWatermark(at, late).groupBy(F.window(at, "7 days", "1 day"), key).agg(F.count(F.lit(1)).alias("n"))
