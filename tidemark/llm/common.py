@@ -40,6 +40,12 @@ def row_keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("key"), F.hash(text).alias("mark"), text.alias("text"))
 
 
+def text_keys(docs: DataFrame) -> DataFrame:
+    """As ``row_keys``, but with 128 bits of ``mark``: they also tell any number of texts without an id apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("key"), F.unhex(F.md5(text)).alias("mark"), text.alias("text"))
+
+
 def doc_id(key: str = "key") -> Column:
     return F.nullif(F.col(key), F.lit(NO_ID)).alias("doc_id")
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, doc_id, landed, lowered, read
+from .common import NO_ID, doc_id, landed, lowered, read, text_keys
 
 WIDTH = 5
 SHARE = 0.8
@@ -49,37 +49,40 @@ def signatures(shingles: DataFrame, share: float = SHARE) -> DataFrame:
     )
 
 
-def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
-    """(key, item_id, n_item_shingles, n_shared, containment) of every pair with at least ``share`` of the item's shingles.
+def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, by: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(*by, item_id, n_item_shingles, n_shared, containment) of every pair with at least ``share`` of the item's shingles.
 
     Null and empty texts and texts of fewer than ``width`` words hold nothing; such items match nothing. Items that
-    repeat an id are taken together. Rows of ``docs`` that repeat an id are judged together. Other columns are not
-    read. The joins carry no hint: the signatures are a written table, so Spark broadcasts them only below
+    repeat an id are taken together. Rows of ``docs`` that repeat an id are judged together, or each different text
+    on its own if ``by`` is ("key", "mark"). Other columns are not read. The joins carry no hint: the signatures are a written table, so Spark broadcasts them only below
     its own size limit and shuffles both sides beyond it.
     """
     shingles = landed(item_shingles(items.filter("item_id is not null"), width), "item-shingles")
     wanted = landed(signatures(shingles, share), "item-signatures")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("key"), "text")
-    split = keyed.select("key", _words(F.col("text")).alias("words")).filter(F.size("words") >= width)
-    hashes = split.select("key", F.size("words").alias("size"), F.explode(_every("words", width, F.xxhash64)).alias("hash"))
+    keyed = text_keys(docs).select(*by, "text")
+    split = keyed.select(*by, _words(F.col("text")).alias("words")).filter(F.size("words") >= width)
+    hashes = split.select(*by, F.size("words").alias("size"), F.explode(_every("words", width, F.xxhash64)).alias("hash"))
     admits = (F.col("size") - width + 1) >= F.lit(share) * F.col("n") - 1e-9
-    met = landed(hashes.join(wanted, "hash").filter(admits).select("key", "item_id").distinct(), "contained-candidates")
-
-    suspects = met.select("key").distinct()
-    again = keyed.join(suspects, "key", "left_semi").select("key", _words(F.col("text")).alias("words"))
-    texts = again.select("key", F.explode(_every("words", width, lambda *w: F.concat_ws(" ", *w))).alias("shingle")).distinct()
-    shared = texts.join(shingles, "shingle").groupBy("key", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
-    return shared.join(met, ["key", "item_id"], "left_semi").filter(F.col("n_shared") >= F.lit(share) * F.col("n") - 1e-9).select(
-        "key", "item_id", F.col("n").alias("n_item_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"),
+    met = landed(hashes.join(wanted, "hash").filter(admits).select(*by, "item_id").distinct(), "contained-candidates")
+
+    suspects = met.select(*by).distinct()
+    again = keyed.join(suspects, list(by), "left_semi").select(*by, _words(F.col("text")).alias("words"))
+    texts = again.select(*by, F.explode(_every("words", width, lambda *w: F.concat_ws(" ", *w))).alias("shingle")).distinct()
+    shared = texts.join(shingles, "shingle").groupBy(*by, "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
+    return shared.join(met, [*by, "item_id"], "left_semi").filter(F.col("n_shared") >= F.lit(share) * F.col("n") - 1e-9).select(
+        *by, "item_id", F.col("n").alias("n_item_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"),
     )
 
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with their columns unchanged."""
-    leaked = landed(contained_items(docs, items).select("key").distinct(), "contaminated")
+    """The rows of ``docs`` whose own text holds no test item, with their columns unchanged."""
+    by = ("key", "mark")
+    leaked = landed(contained_items(docs, items, by=by).select(*by).distinct(), "contaminated")
     columns = docs.columns
-    plain = docs.select(*[F.col(name).alias(f"c_{at}") for at, name in enumerate(columns)], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("key"))
-    return plain.join(leaked, "key", "left_anti").select(*[F.col(f"c_{at}").alias(name) for at, name in enumerate(columns)])
+    plain = docs.select(
+        *[F.col(name).alias(f"c_{at}") for at, name in enumerate(columns)], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("key"),
+        F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("mark"))
+    return plain.join(leaked, list(by), "left_anti").select(*[F.col(f"c_{at}").alias(name) for at, name in enumerate(columns)])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, chunks, discarded, doc_id, landed, read, row_keys, table, words
+from ..operators.prefix import dense_index
+from .common import NO_ID, chunks, discarded, doc_id, landed, read, table, text_keys, words
 from .graph import components
 from .windows import Rolling, byte_units, mixed
 
@@ -60,7 +61,7 @@ _LOWER[65:91] += 32
 _FLIP = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64))
 _TIMES = mixed(np.arange(1001, REGISTERS + 1001, dtype=np.uint64)) | np.uint64(1)
 _BAND = np.concatenate([np.random.default_rng(at).permutation(REGISTERS)[: REGISTERS // ROWS * ROWS].reshape(-1, ROWS) for at in range(-(-BANDS * ROWS // REGISTERS) + 1)])[:BANDS]
-SIGNED = "key bigint, mark int, n bigint, digest binary, registers binary, bands array<bigint>"
+SIGNED = "key bigint, mark binary, n bigint, digest binary, registers binary, bands array<bigint>"
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
@@ -237,19 +238,20 @@ def _settle(batches: Iterable[pa.RecordBatch], floor: float, threshold: float, p
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
-    """One row per document: key, mark, n_shingles, component (the smallest key reachable over links, itself included).
+    """One row per document: key, mark, n_shingles, component (the smallest key reachable over links, itself included), kept.
 
     Documents are linked when 100 * shared shingles >= ``percent`` * shingles of either. Null and empty texts and
-    texts of blanks have no shingles and no links. Rows that repeat an id are one node, so they share a component, and one
-    of their texts stands for them when links are sought; a null id counts as the largest. Other columns of ``docs``
-    are not read.
+    texts of blanks have no shingles and no links. Every different text is a node of its own, also where rows repeat an id or
+    have none; such rows share a component only if links connect their texts. A null id counts as the largest. ``kept`` are the
+    rows of one text of each component, of its smallest key, and all rows without words. Other columns of ``docs`` are not read.
     """
-    threshold, keyed = percent / 100, row_keys(docs)
+    threshold, keyed = percent / 100, text_keys(docs)
     signed = landed(keyed.mapInArrow(partial(_sign, width=width), SIGNED), "sketches")
-    classes = landed(signed.filter("n > 0").groupBy("digest").agg(F.min(F.struct("key", "mark")).alias("rep")).select("digest", F.col("rep.key").alias("node"), F.col("rep.mark").alias("mark")), "classes")
+    # One node per different set, numbered by the smallest (key, mark) that has it: the smallest node has the smallest key.
+    first_of = signed.filter("n > 0").groupBy("digest").agg(F.min(F.struct("key", "mark")).alias("rep")).select("digest", "rep.key", "rep.mark")
+    classes = landed(dense_index(first_of, ["key", "mark", "digest"], out="node"), "classes")
     heads = landed(
-        signed.withColumnRenamed("key", "node").join(classes, ["digest", "node", "mark"], "left_semi").dropDuplicates(["node"])
-        .select("node", "mark", "n", "registers", "bands"), "heads")
+        signed.join(classes, ["digest", "key", "mark"]).dropDuplicates(["node"]).select("node", "key", "mark", "n", "registers", "bands"), "heads")
 
     spread = heads.select("node", F.explode("bands").alias("bucket"))
     pivots = landed(spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "pivots")
@@ -269,9 +271,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, slack: f
         """The sets of ``nodes`` and others; each is built once, when it is first asked for."""
         for known in sets:
             nodes = nodes.join(known.select("node"), "node", "left_anti")
-        wanted = landed(heads.join(nodes, "node", "left_semi").select(F.col("node").alias("key"), "mark"), "wanted")
+        wanted = landed(heads.join(nodes, "node", "left_semi").select("node", "key", "mark"), "wanted")
         nth = F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.lit(1)))
-        texts = keyed.join(wanted, ["key", "mark"], "left_semi").withColumn("nth", nth).filter("nth = 1").select(F.col("key").alias("node"), "text")
+        texts = keyed.join(wanted, ["key", "mark"]).withColumn("nth", nth).filter("nth = 1").select("node", "text")
         sets.append(landed(texts.mapInArrow(partial(_sets, width=width), "node bigint, elements binary"), "sets"))
         return reduce(DataFrame.unionByName, sets)
 
@@ -332,19 +334,23 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, slack: f
         step = partial(_settle, floor=threshold - slack, threshold=threshold, percent=percent)
         labels = joined(labels, landed(in_blocks(cells.join(every, "node"), step), "links"))
 
-    out = classes.select("digest", "node")
-    out = out.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component")) if labels is not None else out.withColumnRenamed("node", "component")
-    return signed.select("key", "mark", "n", "digest").join(out, "digest", "left").select("key", "mark", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
+    out = classes.select("digest", F.col("key").alias("component"), F.col("mark").alias("head"))
+    if labels is not None:
+        tops = landed(labels.join(classes.select(F.col("node").alias("label"), F.col("key").alias("component"), F.col("mark").alias("head")), "label").select("node", "component", "head"), "tops")
+        out = classes.join(tops, "node", "left").select("digest", F.coalesce("component", "key").alias("component"), F.coalesce("head", "mark").alias("head"))
+    stays = (F.col("n") == 0) | ((F.col("key") == F.col("component")) & (F.col("mark") == F.col("head")))
+    return signed.select("key", "mark", "n", "digest").join(out, "digest", "left").select(
+        "key", "mark", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"), stays.alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, and all without words; columns unchanged.
+    """Of each component of texts the row with the smallest id, and all without words; columns unchanged.
 
-    Of rows that repeat an id one stays.
+    Of rows that repeat both id and text one stays.
     """
-    kept = landed(near_duplicates(docs, width, percent).filter(F.col("key") == F.col("component")).groupBy("key").agg(F.min("mark").alias("mark")), "kept")
+    kept = landed(near_duplicates(docs, width, percent).filter("kept").select("key", "mark").distinct(), "kept")
     columns = docs.columns
-    text = F.hash(F.coalesce(F.col("text"), F.lit("")))
+    text = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     marked = docs.select(*[F.col(name).alias(f"c_{at}") for at, name in enumerate(columns)], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("key"), text.alias("mark"))
     first = Window.partitionBy("key", "mark").orderBy(*[f"c_{at}" for at in range(len(columns))])
     return (
@@ -355,5 +361,5 @@ def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> D
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select(
-        doc_id(), "n_shingles", doc_id("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"),
+        doc_id(), "n_shingles", doc_id("component").alias("component_id"), "kept",
     )
