@@ -19,8 +19,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, place, h1, h2): the rolling hashes after every turn, as a landed table; ``turns`` has no repeated rows."""
-    hashed = turns.select("conv_id", "turn", F.xxhash64(F.lit(1), "role", "text").alias("one"), F.xxhash64(F.lit(2), "role", "text").alias("two"))
-    placed = dense_index(hashed, ["turn", "one", "two"], out="place", keys=["conv_id"])
+    hashed = turns.select("conv_id", "turn", "role", "text", F.xxhash64(F.lit(1), "role", "text").alias("one"), F.xxhash64(F.lit(2), "role", "text").alias("two"))
+    placed = dense_index(hashed, ["turn", "role", "text"], out="place", keys=["conv_id"]).drop("role", "text")
     value = lambda salt: F.xxhash64(F.lit(salt), "place", "one", "two").cast("decimal(20,0)")
     return landed(running(placed, ["conv_id"], "place", {"h1": value(3), "h2": value(4)}, inclusive=True).select("conv_id", "place", "h1", "h2"), "prefixes")
 
