@@ -95,6 +95,23 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
+@query("x04_late_outcomes_outer", cte("job_results") + """ SELECT s.build, b.build AS outcome, b.result FROM job_results s LEFT JOIN job_results b ON b.pr = s.pr AND b.finish >= s.finish + 3600 AND b.finish <= s.finish + 3600 + 7200""")
+def _(spark, d):
+    source = f"{checkpoint_dir(spark)}/landing-{uuid.uuid4().hex}"
+    given = table(spark, d, "events")
+    # One more record, of a change of its own and a day after all others, moves both watermarks past every score's time.
+    values = {"ts": F.max("ts") + F.expr("INTERVAL 1 DAY"), "user_id": F.min("user_id") - 1}
+    last = given.agg(*[values.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name) for field in given.schema])
+    given.unionByName(last).write.parquet(source)
+    events = flows.read_stream(spark, source, given.schema).withColumn("ts", F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp"))))
+    scores = events.select(F.col("user_id").alias("pr"), F.col("event_id").alias("build"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("scored_at"))
+    result = F.expr("CASE WHEN value > 200 THEN 'failed' WHEN value < 1 THEN NULL WHEN value < 6 THEN 'canceled' ELSE 'succeeded' END")
+    outcomes = events.select(F.col("user_id").alias("pr"), F.col("event_id").alias("outcome"), F.col("ts").alias("finish"), result.alias("result"))
+    path, cursor = scratch(spark)
+    flows.land(flows.late_outcomes(scores, outcomes, wait="2 hours").select("build", "outcome", "result"), path, cursor).awaitTermination()
+    return spark.read.parquet(path).filter("build is not null")
+
+
 @query("x05_running_history", cte("job_results") + """ SELECT pr, build, CAST(row_number() OVER (PARTITION BY pr ORDER BY build) - 1 AS BIGINT) AS prior FROM job_results""")
 def _(spark, d):
     path, cursor = scratch(spark)
