@@ -197,10 +197,10 @@ def reverted_refs(body: Column, unwrapped: Column) -> tuple[Column, Column]:
     return F.when(reverts & (sha != ""), sha), F.when(reverts, F.coalesce(own, named))
 
 
-def sections(body: Column) -> Column:
+def sections(body: Column, limit: int | None = None) -> Column:
     """Struct of the texts under the why, how and verify headings; null where there is none.
 
-    Headings cut the lines into segments; a segment belongs to the title of its heading.
+    With a ``limit`` each text is cut to so many characters; the fields ``.._chars`` count all of them. Headings cut the lines into segments; a segment belongs to the title of its heading.
     """
     table = F.create_map(*[F.lit(item) for pair in SECTION_TITLES.items() for item in pair])
 
@@ -224,12 +224,16 @@ def sections(body: Column) -> Column:
     def text(segments: Column, name: str) -> Column:
         own = F.filter(segments, lambda part: part["name"] == name)
         joined = F.array_join(F.flatten(F.transform(own, lambda part: part["lines"])), "\n")
-        return F.left(F.nullif(F.regexp_replace(joined, r"^\s+|\s+$", ""), F.lit("")), F.lit(SECTION_MAX_CHARS))
+        return F.nullif(F.regexp_replace(joined, r"^\s+|\s+$", ""), F.lit(""))
+
+    def cut_to(whole: Column) -> Column:
+        return whole if limit is None else F.left(whole, F.lit(limit))
 
     segments = let(
         lines(body), lambda rows: let(F.array_compact(F.transform(rows, numbered)), lambda spots: cut(rows, spots))
     )
-    return let(segments, lambda parts: F.struct(*[text(parts, name).alias(name) for name in SECTIONS]))
+    return let(segments, lambda parts: F.struct(
+        *[cut_to(text(parts, name)).alias(name) for name in SECTIONS], *[F.length(text(parts, name)).alias(f"{name}_chars") for name in SECTIONS]))
 
 
 def name_redactor(names: Iterable[str], stoplist: Iterable[str] = (), single_min: int = SINGLE_NAME_MIN_CHARS):

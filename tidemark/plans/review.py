@@ -336,7 +336,14 @@ def _(spark, d):
  SELECT * FROM (SELECT finding, number, row_number() OVER (PARTITION BY finding ORDER BY number) AS n FROM c) WHERE n <= 8""")
 def _(spark, d):
     items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("finding"), F.col("l_partkey").alias("number"), F.col("l_returnflag").alias("role"), F.expr("l_tax > 0.04").alias("cited"))
-    return K.pick_evidence(items)
+    return K.pick_evidence(items, K.MAX_EVIDENCE).drop("chosen")
+
+
+@query("t08_evidence_pick_whole", """WITH i AS (SELECT l_orderkey AS finding, l_partkey AS number, l_returnflag AS role, l_tax > 0.04 AS cited FROM lineitem),
+ c AS (SELECT finding, number FROM i WHERE cited UNION SELECT finding, min(number) FROM i GROUP BY finding, role)
+ SELECT finding, number, row_number() OVER (PARTITION BY finding ORDER BY number) AS n, count(*) OVER (PARTITION BY finding) AS chosen FROM c""")
+def _(spark, d):
+    return K.pick_evidence(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("finding"), F.col("l_partkey").alias("number"), F.col("l_returnflag").alias("role"), F.expr("l_tax > 0.04").alias("cited")))
 
 
 @query("a37_verdicts", """SELECT l_orderkey AS question, CASE WHEN bool_or(l_returnflag = 'R') THEN 'material' WHEN bool_and(l_returnflag = 'N') THEN 'pass_through' ELSE 'unclear' END AS resolution

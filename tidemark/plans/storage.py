@@ -161,6 +161,11 @@ def _(spark, d):
 @query("a33_image_files", "WITH m AS (" + MARKED + r"""), r AS (SELECT path, regexp_extract_all(text, '(?im)^\s*FROM\s+(\S+)', 1) AS b, regexp_extract_all(text, '\{%\s*include\s+[''"]([^''"]+)[''"]', 1) AS i,
  len(regexp_extract_all(text, '\bapt-get\b|\bapt\b')) AS n FROM m)
  SELECT path, array_to_string(b[:12], ',') AS bases, array_to_string(i[:20], ',') AS includes, CAST(n AS BIGINT) AS apt_mentions FROM r WHERE len(b) > 0 OR len(i) > 0 OR n > 0""")
+def _(spark, d):
+    return X.image_files(marked(spark, d), X.FROM_KEPT, X.INCLUDES_KEPT).select("path", F.array_join("bases", ",").alias("bases"), F.array_join("includes", ",").alias("includes"), F.col("apt_mentions").cast("bigint").alias("apt_mentions"))
+
+
+@query("a33_image_files_whole", ORACLES["a33_image_files"].replace("b[:12]", "b").replace("i[:20]", "i"))
 def _(spark, d):
     return X.image_files(marked(spark, d)).select("path", F.array_join("bases", ",").alias("bases"), F.array_join("includes", ",").alias("includes"), F.col("apt_mentions").cast("bigint").alias("apt_mentions"))
 

@@ -110,6 +110,13 @@ def _(spark, d):
  texts AS (SELECT sha, name, left(regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g'), 6000) AS text FROM secs WHERE name IS NOT NULL GROUP BY sha, name)
  SELECT b.sha, md5(w.text) AS why, v.text AS verify FROM bodies b LEFT JOIN texts w ON w.sha = b.sha AND w.name = 'why' AND w.text <> ''
  LEFT JOIN texts v ON v.sha = b.sha AND v.name = 'verify' AND v.text <> ''""")
+def _(spark, d):
+    rows = parsed(spark, d).select("sha", T.clean_body(F.col("message")).alias("clean"))
+    found = rows.select("sha", T.sections(F.col("clean"), T.SECTION_MAX_CHARS).alias("s"))
+    return found.select("sha", F.md5("s.why").alias("why"), F.col("s.verify").alias("verify"))
+
+
+@query("f07_sections_whole", ORACLES["f07_sections"].replace("left(regexp_replace(string_agg", "(regexp_replace(string_agg").replace(", 6000) AS text", ") AS text"))
 def _(spark, d):
     rows = parsed(spark, d).select("sha", T.clean_body(F.col("message")).alias("clean"))
     found = rows.select("sha", T.sections(F.col("clean")).alias("s"))

@@ -84,11 +84,15 @@ def topology_counts(marks: DataFrame) -> DataFrame:
     return marks.groupBy("topology").agg(F.count(F.lit(1)).alias("files"))
 
 
-def image_files(files: DataFrame) -> DataFrame:
-    """Base images, template includes and package-manager mentions of image build files."""
+def image_files(files: DataFrame, bases_kept: int | None = None, includes_kept: int | None = None) -> DataFrame:
+    """Base images, template includes and package-manager mentions of image build files.
+
+    With limits the lists are cut; ``n_bases`` and ``n_includes`` count all.
+    """
+    kept = lambda name, limit: F.col(name) if limit is None else F.slice(name, 1, limit).alias(name)
     bases = F.regexp_extract_all("text", F.lit(FROM), 1)
     includes = F.regexp_extract_all("text", F.lit(INCLUDE), 1)
     row = files.select("path", bases.alias("bases"), includes.alias("includes"), F.regexp_count("text", F.lit(APT)).alias("apt_mentions"))
     return row.filter((F.size("bases") > 0) | (F.size("includes") > 0) | (F.col("apt_mentions") > 0)).select(
-        "path", F.slice("bases", 1, FROM_KEPT).alias("bases"), F.slice("includes", 1, INCLUDES_KEPT).alias("includes"), "apt_mentions"
+        "path", kept("bases", bases_kept), kept("includes", includes_kept), "apt_mentions", F.size("bases").alias("n_bases"), F.size("includes").alias("n_includes")
     )
