@@ -31,6 +31,16 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def parted(text: Column) -> Column:
+    """The words of a text, unchanged: runs of anything but the six blanks. None for null."""
+    bare = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
+
+
+def n_words(text: Column) -> Column:
+    return F.size(parted(text)).cast("bigint")
+
+
 def row_keys(docs: DataFrame) -> DataFrame:
     """(key, mark, text): the document's id, a hash that tells rows with one id apart, the text (null: empty).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact, language, lines, near, packing, quality, substring, suffixes
+from . import chat, decontaminate, exact, language, lines, mixing, near, packing, quality, repair, substring, suffixes, survivors
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffix_array_dedup": suffixes.op8_suffix_array_dedup,
     "op9_minhash_near_dedup": near.op9_minhash_near_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_structure_repair": repair.op11_structure_repair,
+    "op12_filter_interactions": survivors.op12_filter_interactions,
+    "op13_source_mixing": mixing.op13_source_mixing,
 }
 ORACLES = {
     "op1_substring_dedup": substring.OP1_SQL,
@@ -22,4 +25,7 @@ ORACLES = {
     "op4_line_dedup": lines.OP4_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
+    "op11_structure_repair": repair.OP11_SQL,
+    "op12_filter_interactions": survivors.OP12_SQL,
+    "op13_source_mixing": mixing.OP13_SQL,
 }
