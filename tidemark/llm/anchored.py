@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, landed, table, words
-from .windows import Rolling, anchors, byte_units
+from .windows import Rolling, anchors, byte_units, word_units
 
-ROWS = "seed bigint, seg bigint, key bigint, mark int, at bigint"
+ROWS = "seed bigint, seg bigint, key bigint, mark binary, at bigint"
+HIT = ("seed", "seg", "key", "mark", "at")
 
 
 class Units:
@@ -34,10 +35,11 @@ class Units:
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, of_words: bool) -> None:
         self.starts = None
-        first, second = byte_units(data, 1), byte_units(data, 2)
         if of_words:
             self.starts, sizes, ends = words(data, ends)
-            first, second = Rolling(first, 1).at(self.starts, sizes), Rolling(second, 2).at(self.starts, sizes)
+            first, second = word_units(data, self.starts, sizes, 1, 2)
+        else:
+            first, second = byte_units(data, 1), byte_units(data, 2)
         self.ends = ends
         self.one, self.two = Rolling(first, 3), Rolling(second, 4)
 
@@ -65,10 +67,13 @@ def _rows(batches: Iterable[pa.RecordBatch], length: int, seed: int, of_words: b
 
 
 def hits(docs: DataFrame, length: int, seed: int, of_words: bool, repeated) -> DataFrame:
-    """The anchors whose seed is ``repeated`` (a condition on the rows of one seed), landed."""
+    """The anchors whose seed is ``repeated`` (a condition on the rows of one seed), landed, each with ``copies``.
+
+    Rows that repeat id and text have the same anchors; they are one here, however many they are, so no document takes part in its own copies' work.
+    """
     rows = docs.mapInArrow(partial(_rows, length=length, seed=seed, of_words=of_words), ROWS)
     seeds = landed(rows.groupBy("seed").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n")).filter(repeated).select("seed"), "seeds")
-    return landed(rows.join(seeds, "seed", "left_semi"), "hits")
+    return landed(rows.join(seeds, "seed", "left_semi").groupBy(*HIT).agg(F.count(F.lit(1)).alias("copies")), "hits")
 
 
 def several(segments: DataFrame) -> DataFrame:

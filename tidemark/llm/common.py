@@ -44,10 +44,13 @@ def n_words(text: Column) -> Column:
 def row_keys(docs: DataFrame) -> DataFrame:
     """(key, mark, text): the document's id, a hash that tells rows with one id apart, the text (null: empty).
 
-    Rows that agree in both columns have the same id and text, and so the same results.
+    Rows that agree in both columns have the same id and text, and so the same results. The mark has 64 bits among the rows of one id, and
+    128 among those without an id, of which there may be any number.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("key"), F.hash(text).alias("mark"), text.alias("text"))
+    short = F.unhex(F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("key"), F.when(F.col("doc_id").isNull(), F.unhex(F.md5(text))).otherwise(short).alias("mark"), text.alias("text"))
 
 
 def text_keys(docs: DataFrame) -> DataFrame:

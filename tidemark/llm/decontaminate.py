@@ -49,14 +49,15 @@ def signatures(shingles: DataFrame, share: float = SHARE) -> DataFrame:
     )
 
 
-def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, by: tuple[str, ...] = ("key",)) -> DataFrame:
-    """(*by, item_id, n_item_shingles, n_shared, containment) of every pair with at least ``share`` of the item's shingles.
+def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
+    """(key, mark, item_id, n_item_shingles, n_shared, containment) of every pair with at least ``share`` of the item's shingles.
 
     Null and empty texts and texts of fewer than ``width`` words hold nothing; such items match nothing. Items that
-    repeat an id are taken together. Rows of ``docs`` that repeat an id are judged together, or each different text
-    on its own if ``by`` is ("key", "mark"). Other columns are not read. The joins carry no hint: the signatures are a written table, so Spark broadcasts them only below
+    repeat an id are taken together. Rows of ``docs`` that repeat an id, or have none, are judged each different text on its own; equal
+    rows count once. Other columns are not read. The joins carry no hint: the signatures are a written table, so Spark broadcasts them only below
     its own size limit and shuffles both sides beyond it.
     """
+    by = ("key", "mark")
     shingles = landed(item_shingles(items.filter("item_id is not null"), width), "item-shingles")
     wanted = landed(signatures(shingles, share), "item-signatures")
     keyed = text_keys(docs).select(*by, "text")
@@ -77,7 +78,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose own text holds no test item, with their columns unchanged."""
     by = ("key", "mark")
-    leaked = landed(contained_items(docs, items, by=by).select(*by).distinct(), "contaminated")
+    leaked = landed(contained_items(docs, items).select(*by).distinct(), "contaminated")
     columns = docs.columns
     plain = docs.select(
         *[F.col(name).alias(f"c_{at}") for at, name in enumerate(columns)], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("key"),
@@ -92,16 +93,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH w AS (
-  SELECT 0 AS kind, doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+  SELECT 0 AS kind, doc_id AS id, coalesce(text, '') AS one, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM (SELECT DISTINCT doc_id, text FROM documents)
   UNION ALL
-  SELECT 1, item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  SELECT 1, item_id, '', list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') FROM benchmark
 ), s AS (
-  SELECT DISTINCT kind, id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] || ' ' || words[i + 4] AS shingle
-  FROM (SELECT kind, id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
-), n AS (SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id)
+  SELECT DISTINCT kind, id, one, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] || ' ' || words[i + 4] AS shingle
+  FROM (SELECT kind, id, one, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+), n AS (SELECT id, count(*) AS n FROM s WHERE kind = 1 AND id IS NOT NULL GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n) AS n_item_shingles, count(*) AS n_shared, count(*) / any_value(n.n) AS containment
 FROM s d JOIN s i ON d.shingle = i.shingle AND d.kind = 0 AND i.kind = 1 JOIN n ON n.id = i.id
-GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
+GROUP BY d.id, d.one, i.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
 """

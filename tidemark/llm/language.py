@@ -171,7 +171,7 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
 
     With no language learnt all are ``und``; with one, all are that one. Only texts are read.
     """
-    return row_keys(docs).mapInArrow(partial(_predict, model=model), "key bigint, mark int, lang_pred string, score double")
+    return row_keys(docs).mapInArrow(partial(_predict, model=model), "key bigint, mark binary, lang_pred string, score double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,11 @@ No step forms all pairs of a bucket:
 
 * documents with the same set are one class from the start;
 * every member of a bucket is first held against one pivot of it, and the best of these pairs are verified;
-* then members outside the largest component of a bucket are held against the others, in blocks of bounded size, and
-  the best pairs that lead into each other component are verified;
-* documents connected by pairs that may be similar enough, verified or not, form a family. In families that still have
-  several components, members outside the largest one are held against the others once more, in blocks with
-  their full sets, and only links leave a block.
+* documents connected by pairs that may be similar enough, verified or not, form a family. In buckets that hold several
+  families, members outside the largest one are held against the others, in blocks of bounded size, and a block returns
+  a forest: fewer pairs than it has families. A few bands come first, so that the others find few buckets open;
+* in families that still have several components, members outside the largest one are held against the others once more,
+  in blocks with their full sets, and only links that connect something new leave a block.
 
 Every pair that shares a band, may be similar enough and isn't connected otherwise is verified in the end, so the
 components are those of all links that the bands can see. At similarity 0.8 exactly and with equal sizes, a pair has no
@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.prefix import dense_index
-from .common import NO_ID, chunks, discarded, doc_id, landed, read, table, text_keys, words
+from .common import NO_ID, chunks, doc_id, landed, read, table, text_keys, words
 from .graph import components
-from .windows import Rolling, byte_units, mixed
+from .windows import Rolling, mixed, word_units
 
 REGISTERS = 128
 ROWS = 6
@@ -52,8 +52,10 @@ BLOCK = 512
 # Pairs compared and pairs estimated by one round of array operations.
 PAIRS = 1 << 16
 SLICE = 1 << 11
-# Of each member and foreign component, so many pairs are verified before the rest.
+# Of each member, so many pairs with pivots are verified first.
 BEST = 2
+# Bands whose buckets are opened before those of the others.
+FIRST_BANDS = 4
 
 CELL = ["bucket", "row", "column"]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -82,8 +84,7 @@ def shingle_sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tupl
     for batch, data, ends in chunks(batches):
         data = _LOWER[data]
         starts, sizes, closes = words(data, ends)
-        units = Rolling(byte_units(data, 1), 1).at(starts, sizes)
-        rolling = Rolling(units, 3)
+        rolling = Rolling(word_units(data, starts, sizes, 1)[0], 3)
         sets = []
         first = 0
         for last in closes.tolist():
@@ -200,41 +201,65 @@ def _plausible(rows: pa.Table, group: np.ndarray, floor: float, threshold: float
         first = last
 
 
-def _across(batches: Iterable[pa.RecordBatch], floor: float, threshold: float, best: int) -> Iterator[pa.RecordBatch]:
-    """Of each member outside a bucket's largest component the ``best`` pairs into each other component there."""
+class Sets:
+    """Disjoint sets of a cell's labels; each is known by its smallest one."""
+
+    def __init__(self) -> None:
+        self._over: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        path = []
+        while x in self._over:
+            path.append(x)
+            x = self._over[x]
+        for one in path[:-1]:
+            self._over[one] = x
+        return x
+
+    def joined(self, x: int, y: int) -> bool:
+        """Whether the two were apart, and are one now."""
+        x, y = self.top(x), self.top(y)
+        if x == y:
+            return False
+        self._over[max(x, y)] = min(x, y)
+        return True
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return table({"a": ([min(pair) for pair in found], pa.int64()), "b": ([max(pair) for pair in found], pa.int64())})
+
+
+def _across(batches: Iterable[pa.RecordBatch], floor: float, threshold: float) -> Iterator[pa.RecordBatch]:
+    """A forest of pairs that may be similar enough, between the families of a cell: fewer pairs than it has families."""
     for rows, group in _whole(batches, CELL):
-        node, comp = rows.column("node").to_numpy(), rows.column("comp").to_numpy()
-        for one, two, guess in _plausible(rows, group, floor, threshold):
-            rank = np.lexsort([node[two], -guess, comp[two], one])
-            one, two = one[rank], two[rank]
-            new = np.ones(len(one), bool)
-            new[1:] = (one[1:] != one[:-1]) | (comp[two][1:] != comp[two][:-1])
-            place = np.arange(len(one))
-            top = place - np.maximum.accumulate(np.where(new, place, 0)) < best
-            one, two = one[top], two[top]
-            yield table({"a": (np.minimum(node[one], node[two]), pa.int64()), "b": (np.maximum(node[one], node[two]), pa.int64())})
+        node, comp = (rows.column(name).to_numpy() for name in ("node", "comp"))
+        joined: dict[int, Sets] = {}
+        found = []
+        for one, two, _ in _plausible(rows, group, floor, threshold):
+            # Of many pairs between the same two families one will do.
+            x, y = np.minimum(comp[one], comp[two]), np.maximum(comp[one], comp[two])
+            order = np.lexsort([y, x, group[one]])
+            new = np.ones(len(order), bool)
+            new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1]) | (group[one][order][1:] != group[one][order][:-1])
+            for at in order[new].tolist():
+                if joined.setdefault(int(group[one[at]]), Sets()).joined(int(x[at]), int(y[at])):
+                    found.append((int(node[one[at]]), int(node[two[at]])))
+        yield _pairs(found)
 
 
 def _settle(batches: Iterable[pa.RecordBatch], floor: float, threshold: float, percent: int) -> Iterator[pa.RecordBatch]:
     """Links between the components of a family, verified on full sets; those that connect nothing new are left out."""
     for rows, group in _whole(batches, CELL):
         node, comp, sets = rows.column("node").to_numpy(), rows.column("comp").to_numpy(), rows.column("elements").combine_chunks()
-        found: list[tuple[int, int]] = []
-        over: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while x in over:
-                x = over[x]
-            return x
-
+        found, joined = [], Sets()
         for one, two, guess in _plausible(rows, group, floor, threshold):
             for at in np.argsort(-guess, kind="stable").tolist():
                 left, right = int(one[at]), int(two[at])
-                x, y = top(int(comp[left])), top(int(comp[right]))
+                x, y = joined.top(int(comp[left])), joined.top(int(comp[right]))
                 if x != y and _linked(sets[left], sets[right], percent):
-                    over[max(x, y)] = min(x, y)
+                    joined.joined(x, y)
                     found.append((int(node[left]), int(node[right])))
-        yield table({"a": ([min(pair) for pair in found], pa.int64()), "b": ([max(pair) for pair in found], pa.int64())})
+        yield _pairs(found)
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
@@ -246,6 +271,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, slack: f
     rows of one text of each component, of its smallest key, and all rows without words. Other columns of ``docs`` are not read.
     """
     threshold, keyed = percent / 100, text_keys(docs)
+    floor = threshold - slack
     signed = landed(keyed.mapInArrow(partial(_sign, width=width), SIGNED), "sketches")
     # One node per different set, numbered by the smallest (key, mark) that has it: the smallest node has the smallest key.
     first_of = signed.filter("n > 0").groupBy("digest").agg(F.min(F.struct("key", "mark")).alias("rep")).select("digest", "rep.key", "rep.mark")
@@ -261,7 +287,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, slack: f
     star = held.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     guessed = star.join(left.drop("r_a"), "a").join(right.drop("r_b"), "b").filter(fits).join(left.select("a", "r_a"), "a").join(right.select("b", "r_b"), "b").mapInArrow(
-        partial(_estimate, floor=threshold - slack), "a bigint, b bigint, estimate double")
+        partial(_estimate, floor=floor), "a bigint, b bigint, estimate double")
     first = Window.partitionBy("b").orderBy(F.desc("estimate"), "a")
     pairs = landed(guessed.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= BEST).select("a", "b"), "pairs")
 
@@ -320,18 +346,16 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, slack: f
         return cells.repartition(*[F.col(name) for name in CELL]).sortWithinPartitions(*CELL).mapInArrow(step, "a bigint, b bigint").distinct()
 
     labels = joined(None, verified(pairs))
-    members = landed(with_components(held.select("bucket", "node"), labels), "bucket-components")
-    more = landed(in_blocks(blocks(members), partial(_across, floor=threshold - slack, threshold=threshold, best=BEST)).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    labels = joined(labels, verified(more))
-    discarded(members)
-
-    # Components are connected by links among these pairs, and a plausible pair across components has one of them beside it.
-    plausible = pairs.union(more)
-    if not plausible.isEmpty():
-        members = landed(with_components(components(plausible).select(F.col("label").alias("bucket"), "node"), labels), "families")
-        cells = landed(blocks(members), "family-blocks")
+    # Families are connected by pairs that may be similar enough. The pairs with pivots make most of them; a bucket is only opened where it still holds several.
+    families = joined(None, pairs)
+    for some in (held.filter(F.col("bucket") < F.lit(FIRST_BANDS << 48)), held.filter(F.col("bucket") >= F.lit(FIRST_BANDS << 48))):
+        opened = blocks(landed(with_components(some.select("bucket", "node"), families), "bucket-families"))
+        families = joined(families, landed(in_blocks(opened, partial(_across, floor=floor, threshold=threshold)), "pairs"))
+    if families is not None:
+        apart = with_components(families.select(F.col("label").alias("bucket"), "node"), labels)
+        cells = landed(blocks(landed(apart, "families")), "family-blocks")
         every = built(cells.select("node").distinct())
-        step = partial(_settle, floor=threshold - slack, threshold=threshold, percent=percent)
+        step = partial(_settle, floor=floor, threshold=threshold, percent=percent)
         labels = joined(labels, landed(in_blocks(cells.join(every, "node"), step), "links"))
 
     out = classes.select("digest", F.col("key").alias("component"), F.col("mark").alias("head"))

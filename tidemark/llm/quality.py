@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, doc_id, landed, read, row_keys, table, words
-from .windows import Rolling, byte_units, mixed
+from .windows import mixed, word_units
 
 FEATURES = 128
 WIDTH = 1.0
@@ -63,7 +63,7 @@ def statistics(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     some = np.maximum(many, 1)
     count = {name: _sums(kind[data], ends) for name, kind in (
         ("upper", _UPPER), ("lower", _LOWER), ("digit", _DIGIT), ("blank", _BLANKS), ("line", _LINE), ("sentence", _SENTENCE), ("other", _OTHER), ("beyond", _BEYOND), ("vowel", _byte_class("aeiou")))}
-    hashes = Rolling(byte_units(data, 1), 1).at(starts, lengths)
+    hashes = word_units(data, starts, lengths, 1)[0]
     doc = np.repeat(np.arange(len(ends)), many.astype(np.int64))
     same_doc = doc[1:] == doc[:-1]
     repeat = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & same_doc]) if len(hashes) else np.zeros(0, bool)
@@ -100,7 +100,7 @@ def _measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """(key, mark, stats) of every row, as a landed table."""
-    return landed(row_keys(docs).mapInArrow(_measure, "key bigint, mark int, stats array<double>"), "statistics")
+    return landed(row_keys(docs).mapInArrow(_measure, "key bigint, mark binary, stats array<double>"), "statistics")
 
 
 @dataclass
@@ -224,7 +224,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share its label; a label of a null id is ignored. Without labels every score is 0.5. Other columns are not read.
     """
     stats = measured(docs)
-    return stats.mapInArrow(partial(_score, model=fitted(stats, labels)), "key bigint, mark int, score double")
+    return stats.mapInArrow(partial(_score, model=fitted(stats, labels)), "key bigint, mark binary, score double")
 
 
 def _accepted(batches: Iterable[pa.RecordBatch], model: Model, text: int) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from .common import chunks, discarded, doc_id, landed, read, row_keys, table
 
 LENGTH = 13
 SEED = 5
-OUT = "key bigint, mark int, kept string, n_words bigint, n_removed bigint, spans array<int>, kept_sha256 string"
+OUT = "key bigint, mark binary, kept string, n_words bigint, n_removed bigint, spans array<int>, kept_sha256 string"
 
 
 def _windows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ LEAD = 16
 # Stretches sorted by one round of array operations, and as many as complete a group.
 PIECE = 2_048
 STRETCH = "seed bigint, seg bigint, lead binary, ahead int, windows int, content binary"
-OUT = "key bigint, mark int, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+OUT = "key bigint, mark binary, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
 def _stretches(batches: Iterable[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def without_repeated_bytes(docs: DataFrame, length: int = LENGTH, seed: int = SE
     """
     keyed = row_keys(docs)
     found = hits(keyed, length, seed, False, F.col("n") > 1)
-    segments = landed(found.groupBy("seed", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "mark", "at")).alias("one")), "segments")
+    segments = landed(found.groupBy("seed", "seg").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "mark", "at")).alias("one")), "segments")
     open_ = segments.join(several(segments), "seed").select("one.key", "one.mark", "one.at", "seed", "seg", "segs")
     stretches = landed(looked_up(keyed, open_.select("key", "mark", "at", "seed", "seg")).mapInArrow(partial(_stretches, length=length, seed=seed), STRETCH), "stretches")
     crowded = open_.filter(F.col("segs") > hot).select("seed").distinct()

@@ -9,6 +9,7 @@ anchor are neighbours, and a document has about two anchors for each ``length -
 from __future__ import annotations
 
 import numpy as np
+from pandas.util import hash_array
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -29,8 +30,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any stretch of an array from prefix sums of a polynomial modulo 2**64.
 
-    Two instances with different ``salt`` are independent; stretches stay far below the lengths at which
-    such polynomials can be fooled.
+    Two instances with different ``salt`` are independent. Such polynomials can be fooled by stretches of a thousand units and
+    more, whatever their base; those taken here stay below 500, and words, which may have any length, become units by ``word_units``.
     """
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -72,6 +73,13 @@ def byte_units(data: np.ndarray, salt: int) -> np.ndarray:
     return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * salt + 3))[data]
 
 
+def word_units(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, *salts: int) -> list[np.ndarray]:
+    """A keyed hash (SipHash) of the bytes of every word, for each salt."""
+    raw, words = data.tobytes(), np.empty(len(starts), object)
+    words[:] = [raw[first:last] for first, last in zip(starts.tolist(), (starts + sizes).tolist())]
+    return [hash_array(words, hash_key=f"{salt:016d}", categorize=False) for salt in salts]
+
+
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` neighbours."""
     have = 1
