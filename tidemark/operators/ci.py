@@ -218,6 +218,9 @@ def pr_features(
     """Numeric features of a PR's files. ``files(pr, path, additions, deletions, binary, bucket, prior)``."""
     n = F.count(F.lit(1))
     churn = F.coalesce(F.sum("additions"), F.lit(0)) + F.coalesce(F.sum("deletions"), F.lit(0))
+    # Millionths are whole numbers: their mean does not depend on the order of addition, nor on how ties of doubles are rounded.
+    millionths = F.sum(F.round(F.col("prior") * 1e6).cast("bigint"))
+    mean = F.floor((2 * millionths + n) / (2 * n)) / 1e6
     return files.groupBy("pr").agg(
         n.alias("n_files"),
         F.coalesce(F.sum("additions"), F.lit(0)).alias("additions"),
@@ -226,7 +229,7 @@ def pr_features(
         F.round(F.log1p(churn), 4).alias("log1p_churn"), F.round(F.log1p(n), 4).alias("log1p_files"),
         F.count_if(F.col("bucket") == shared_bucket).alias("n_shared_paths"),
         F.round(F.count_if(F.col("bucket") == shared_bucket) / n, 4).alias("frac_shared"),
-        F.round(F.max("prior"), 6).alias("max_revert_prior"), F.round(F.avg("prior"), 6).alias("mean_revert_prior"),
+        F.round(F.max("prior"), 6).alias("max_revert_prior"), mean.alias("mean_revert_prior"),
         *[F.count_if(F.col("path").startswith(prefix)).alias(name) for name, prefix in prefix_counts.items()],
         *[F.bool_or(test).alias(name) for name, test in flags.items()],
     )

@@ -277,7 +277,7 @@ def _(spark, d):
   round(ln(1 + sum(additions) + sum(deletions)), 4) AS log1p_churn, round(ln(1 + count(*)), 4) AS log1p_files,
   CAST(count(*) FILTER (bucket = 'core') AS BIGINT) AS n_shared_paths,
   round(count(*) FILTER (bucket = 'core') / CAST(count(*) AS DOUBLE), 4) AS frac_shared,
-  round(max(prior), 6) AS max_revert_prior, round(avg(prior), 6) AS mean_revert_prior,
+  round(max(prior), 6) AS max_revert_prior, floor((2 * sum(CAST(round(prior * 1e6) AS BIGINT)) + count(*))::DOUBLE / (2 * count(*))::DOUBLE) / 1e6 AS mean_revert_prior,
   CAST(count(*) FILTER (starts_with(path, 'p/3')) AS BIGINT) AS n_device_paths, bool_or(contains(path, '/77')) AS has_77
  FROM model_files GROUP BY pr""")
 def _(spark, d):
