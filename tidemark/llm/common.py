@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,24 @@ def doc_id(key: str = "key") -> Column:
     return F.nullif(F.col(key), F.lit(NO_ID)).alias("doc_id")
 
 
+# Bits of a filter, and of one row of it: a table of 1,024 rows of 4 KB at most, whatever the data.
+FILTER_BITS, ROW_BITS = 1 << 25, 1 << 15
+
+
+def likely(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` without most of those whose keys are not ``wanted``: a join that follows shuffles that much less.
+
+    The filter is a bitmap of key hashes of a fixed size (4 MB), so it may be broadcast. It lets through a share of the others that grows
+    with the number of wanted keys; from some ten million on it lets through most of them, and only costs its own small pass.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    place = (bit % ROW_BITS).cast("int")
+    bits = wanted.select(F.floor(bit / ROW_BITS).cast("int").alias("_slot"), place.cast("bigint").alias("_bit")).groupBy("_slot").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_slot", F.floor(bit / ROW_BITS).cast("int")).join(F.broadcast(bits), "_slot")
+    return met.filter(F.call_function("shiftright", byte, place % 8).bitwiseAND(1) == 1).select(*rows.columns)
+
+
 def unshared(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps now rather than at some later collection."""
     gc.collect()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.prefix import dense_index
-from .common import NO_ID, chunks, doc_id, landed, read, table, text_keys, words
+from .common import NO_ID, chunks, doc_id, landed, likely, read, table, text_keys, words
 from .graph import components
 from .windows import Rolling, mixed, word_units
 
@@ -50,7 +50,7 @@ SLACK = 0.19
 # Members of a bucket on either side of one block.
 BLOCK = 512
 # Pairs compared and pairs estimated by one round of array operations.
-PAIRS = 1 << 16
+PAIRS = 1 << 13
 SLICE = 1 << 11
 # Of each member, so many pairs with pivots are verified first.
 BEST = 2
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, slack: f
             nodes = nodes.join(known.select("node"), "node", "left_anti")
         wanted = landed(heads.join(nodes, "node", "left_semi").select("node", "key", "mark"), "wanted")
         nth = F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.lit(1)))
-        texts = keyed.join(wanted, ["key", "mark"]).withColumn("nth", nth).filter("nth = 1").select("node", "text")
+        texts = likely(keyed, wanted, ["key", "mark"]).join(wanted, ["key", "mark"]).withColumn("nth", nth).filter("nth = 1").select("node", "text")
         sets.append(landed(texts.mapInArrow(partial(_sets, width=width), "node bigint, elements binary"), "sets"))
         return reduce(DataFrame.unionByName, sets)
 
