@@ -374,12 +374,15 @@ def kind_files(spark, d):
  SELECT sha, coalesce(l[1], 'chore') AS change_type, CASE WHEN len(l) = 0 THEN 'chore' ELSE array_to_string(l, ',') END AS change_types,
   list_contains(l, 'fix') AND l[1] <> 'revert' AS fix_like FROM t""")
 def _(spark, d):
+    return change_types(spark, d).select("sha", "change_type", F.array_join("change_types", ",").alias("change_types"), "fix_like")
+
+
+def change_types(spark, d):
     files = kind_files(spark, d).withColumn("new_path", F.col("path"))
     messages = parsed(spark, d).select(
         "sha", "subject", T.subject_tags(F.col("subject")).alias("tags"), T.clean_body(F.col("message")).alias("body"),
         T.is_headline_revert(F.col("subject")).alias("is_revert"))
-    return I.change_types(messages, files).select(
-        "sha", "change_type", F.array_join("change_types", ",").alias("change_types"), "fix_like")
+    return I.change_types(messages, files)
 
 
 RULES = [("docs", tree_glob("docs/**")), ("py", tree_glob("*.py")), ("images", tree_glob("dockers/**/*.c")), ("makefiles", tree_glob("Makefile")), ("rules", tree_glob("rules/*"))]
@@ -402,9 +405,12 @@ def _(spark, d):
 @query("p07_feature_areas", "WITH f AS (" + KIND_FILES + """), a(area, prefix) AS (SELECT concat('n', n_nationkey), concat('device/acme/x-', n_nationkey) FROM nation UNION ALL VALUES ('docs', 'docs'), ('tests', 'tests/t.py'))
  SELECT sha, area, CAST(count(DISTINCT path) AS BIGINT) AS path_count FROM f JOIN a ON path = prefix OR starts_with(path, prefix || '/') GROUP BY sha, area""")
 def _(spark, d):
-    areas = table(spark, d, "nation").selectExpr("concat('n', n_nationkey) AS area", "concat('device/acme/x-', n_nationkey) AS prefix").unionByName(
+    return I.feature_areas(kind_files(spark, d), area_prefixes(spark, d))
+
+
+def area_prefixes(spark, d):
+    return table(spark, d, "nation").selectExpr("concat('n', n_nationkey) AS area", "concat('device/acme/x-', n_nationkey) AS prefix").unionByName(
         spark.createDataFrame([("docs", "docs"), ("tests", "tests/t.py")], "area string, prefix string"))
-    return I.feature_areas(kind_files(spark, d), areas)
 
 
 @query("p08_path_entities", "WITH f AS (SELECT DISTINCT sha, path FROM (" + KIND_FILES + r""")),
