@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("history", "ci", "evaluation", "text", "similarity", "reach", "review", "features", "modelling", "streams", "storage")
+MODULES = ("history", "ancestry", "ci", "evaluation", "text", "similarity", "reach", "review", "features", "modelling", "streams", "storage")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
