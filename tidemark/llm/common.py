@@ -121,6 +121,9 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
             last = min(last, len(texts))
             yield batch.slice(first, last - first), data[offsets[first]: offsets[last]], offsets[first + 1: last + 1] - offsets[first]
             first = last
+        # A worker outlives its task; what a batch of long texts took goes back before the next one.
+        del batch, texts, data
+        pa.default_memory_pool().release_unused()
 
 
 _BLANK = np.zeros(256, bool)
