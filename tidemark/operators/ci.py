@@ -295,6 +295,17 @@ def score_reasons(files: DataFrame, reach: Reach, path_class: Column) -> DataFra
     return files.select("pr", "path", "bucket", path_class.alias("path_class"), "prior", jobs.alias("jobs"))
 
 
+def scored_scope(prs: DataFrame, changed: DataFrame, hotspots: DataFrame) -> DataFrame:
+    """(pr, path, files_complete): the changed files of each PR of ``prs``; of one whose diff is not at hand, its stored hotspots, marked incomplete.
+
+    A PR with neither has no rows; its scores are base rates.
+    """
+    known = changed.select("pr", "path").distinct().join(prs.select("pr").distinct(), "pr", "left_semi")
+    bare = prs.select("pr").distinct().join(known.select("pr").distinct(), "pr", "left_anti")
+    stored = hotspots.filter("path <> ''").select("pr", "path").distinct().join(bare, "pr", "left_semi")
+    return known.withColumn("files_complete", F.lit(True)).unionByName(stored.withColumn("files_complete", F.lit(False)))
+
+
 def fidelity(model: DataFrame, observed: DataFrame, excluded: DataFrame) -> DataFrame:
     """Names on one side only; observed names on the exclusion list are ignored."""
     seen = observed.select("name").distinct().join(excluded.select("name"), "name", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clip, let
+from ..functions.text import clip, let, path_words
 
 # Fixed values.
 BUDGET = 12_000
@@ -118,3 +118,25 @@ def documents(records: DataFrame, budget: int = BUDGET) -> DataFrame:
     text = F.when(over, F.left("d.text", F.lit(room))).otherwise(F.col("d.text"))
     marked = F.when(complete, text).otherwise(F.concat(text, F.lit(TRUNCATION_MARK)))
     return built.select("sha", "committed_at", F.length(marked).alias("chars"), complete.alias("diff_complete"), marked.alias("text"))
+
+
+def commit_text(records: DataFrame, limit: int | None = MESSAGE_BUDGET) -> DataFrame:
+    """(sha, text) for text similarity: subject, then the sections or else the first ``limit`` characters of the body (None: all), then the words of every path.
+
+    A file that moved gives the words of its old path and of its new one.
+    """
+    m = F.col("message")
+    sections = F.filter(F.map_values(m["sections"]), lambda text: F.coalesce(text, F.lit("")) != "")
+    body = F.coalesce(m["body"], F.lit(""))
+    prose = F.when(F.size(sections) > 0, sections).otherwise(F.array(body if limit is None else F.left(body, F.lit(limit))))
+    paths = F.flatten(F.transform("files", lambda item: F.array_distinct(F.array_compact(F.array(item["old_path"], item["new_path"])))))
+    return records.select(F.col("commit.sha").alias("sha"), F.array_join(F.concat(F.array(F.coalesce(m["subject"], F.lit(""))), prose, F.transform(paths, path_words)), "\n").alias("text"))
+
+
+def commit_items(records: DataFrame) -> DataFrame:
+    """(sha, item), distinct: the files of a commit by either path, its components, feature areas and entities."""
+    named = lambda kind, values: F.transform(values, lambda value: F.concat(F.lit(f"{kind}:"), value))
+    ids = lambda name: F.transform(f"areas.{name}", lambda item: item["id"])
+    paths = F.flatten(F.transform("files", lambda item: F.array_compact(F.array(item["old_path"], item["new_path"]))))
+    every = F.concat(named("file", paths), named("component", ids("components")), named("feature", ids("features")), named("entity", ids("entities")))
+    return records.select(F.col("commit.sha").alias("sha"), F.explode(F.array_distinct(every)).alias("item")).distinct()

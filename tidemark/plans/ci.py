@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import PathRules, Rule, extension
 from ..operators import ci as C
 from ..operators import splits as S
+from ..session import checkpointed
 from .registering import Collector
 from .views import commits, cte, table, view
 
@@ -312,6 +314,17 @@ def _(spark, d):
     return scores(spark, d)
 
 
+@query("a24_fallback_scope", cte("commits", "changes", "job_results") + "," + FILE_CTES + "," + RATE_CTES + """,
+ hot AS (SELECT pr, path FROM (SELECT pr, path, row_number() OVER (PARTITION BY pr ORDER BY max(additions) DESC, path) AS n FROM model_files GROUP BY pr, path) WHERE n <= 3)
+ SELECT DISTINCT pr, path, true AS files_complete FROM model_files WHERE pr % 4 <> 0 UNION ALL SELECT pr, path, false FROM hot WHERE pr % 4 = 0""")
+def _(spark, d):
+    files = checkpointed(model_files(spark, d)[1].groupBy("pr", "path").agg(F.max("additions").alias("additions")))
+    # Briefs keep the three largest files; the diffs of a quarter of the PRs are gone.
+    nth = F.row_number().over(Window.partitionBy("pr").orderBy(F.desc("additions"), "path"))
+    hotspots = files.withColumn("n", nth).filter("n <= 3")
+    return C.scored_scope(files, files.filter("pr % 4 <> 0"), hotspots)
+
+
 @query("a24_score_reasons", cte("commits", "changes", "job_results") + "," + FILE_CTES + "," + RATE_CTES + f"""
  SELECT DISTINCT pr, path, bucket, CASE WHEN starts_with(path, 'p/1') THEN 'wide' ELSE 'narrow' END AS path_class,
   round(prior, 6) AS prior, array_to_string({JOBS}, ',') AS jobs FROM model_files""")

@@ -312,7 +312,7 @@ def _(spark, d):
 @query("j03_unique_prefix", """WITH prefixes AS (SELECT DISTINCT left(sha256(CAST(o_custkey AS VARCHAR)), 7 + CAST(o_custkey % 3 AS INT)) AS prefix
    FROM orders UNION SELECT 'abc' UNION SELECT 'zzzzzzzz'),
  keys AS (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS k FROM orders)
- SELECT p.prefix, CAST(count(k.k) AS BIGINT) AS matches, CASE WHEN count(k.k) = 1 THEN min(k.k) END AS key
+ SELECT p.prefix, CASE WHEN length(p.prefix) >= 7 THEN CAST(count(k.k) AS BIGINT) END AS matches, CASE WHEN count(k.k) = 1 THEN min(k.k) END AS key, length(p.prefix) < 7 AS too_short
  FROM prefixes p LEFT JOIN keys k ON length(p.prefix) >= 7 AND starts_with(k.k, p.prefix) GROUP BY p.prefix""")
 def _(spark, d):
     orders = table(spark, d, "orders")

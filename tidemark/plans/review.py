@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.numbers import log_count, logit, missing, platt
 from ..operators import backtest as B
 from ..operators import checks as K
+from ..operators import features as W
 from ..operators import history as H
 from ..operators.prefix import running
 from ..session import checkpointed
+from .features import history_families
 from .history import SPLIT_CTES
 from .registering import Collector
-from .views import commits, cte, facts, table, view, with_areas
+from .views import commits, cte, facts, table, view
 
 query = Collector()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -368,21 +370,26 @@ def _(spark, d):
     return K.report_problems(findings, answers, questions, named, world)
 
 
-@query("q03_no_lookahead", cte("facts") + " SELECT idx, sha, 0 AS area_commits_last_7d FROM facts WHERE false")
+@query("q03_no_lookahead", cte("facts") + " SELECT idx, " + ", ".join(f"0 AS {name}" for name in W.HISTORY) + " FROM facts WHERE false")
 def _(spark, d):
     def compute(f):
-        return H.area_burst(f, with_areas(spark, d, f, "idx", "landed"))
+        wide = f.select("sha", "idx")
+        for family in history_families(spark, d, f):
+            wide = wide.join(family.select("sha", *[name for name in W.HISTORY if name in family.columns]), "sha")
+        return wide.select("idx", *W.HISTORY)
 
-    return K.lookahead_problems(compute, facts(spark, d), 9000)
+    f = facts(spark, d)
+    return K.lookahead_problems(compute, f, f.count() // 2)
 
 
-@query("q03_lookahead_caught", cte("commits") + """ SELECT CAST(count(*) AS BIGINT) AS changed FROM (SELECT author_id FROM commits WHERE idx <= 9000 AND author_id IN (SELECT author_id FROM commits WHERE idx > 9000))""")
+@query("q03_lookahead_caught", cte("commits") + """ SELECT CAST(count(*) AS BIGINT) AS changed FROM (SELECT author_id FROM commits WHERE idx <= (SELECT count(*) // 2 FROM commits) AND author_id IN (SELECT author_id FROM commits WHERE idx > (SELECT count(*) // 2 FROM commits)))""")
 def _(spark, d):
     def leaking(f):
         totals = f.groupBy("author_id").agg(F.count(F.lit(1)).alias("n"))
         return f.select("idx", "author_id").join(totals, "author_id")
 
-    problems = K.lookahead_problems(leaking, commits(spark, d), 9000)
+    c = commits(spark, d)
+    problems = K.lookahead_problems(leaking, c, c.count() // 2)
     return problems.agg(F.floor(F.count(F.lit(1)) / 2).alias("changed"))
 
 

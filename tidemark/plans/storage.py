@@ -176,6 +176,18 @@ def _(spark, d):
     return done.select("sha", "chars", "diff_complete", F.md5("text").alias("text_md5"))
 
 
+@query("f17_commit_text", r"""SELECT sha256(CAST(doc_id AS VARCHAR)) AS sha, md5(concat_ws(chr(10), left(text, 50), CASE WHEN doc_id % 5 = 0 AND text <> '' THEN left(text, 2000) ELSE left(text, 3000) END,
+ 'py', 'old', 'new')) AS text_md5 FROM documents""")
+def _(spark, d):
+    return W.commit_text(records(spark, d)).select("sha", F.md5("text").alias("text_md5"))
+
+
+@query("f17_commit_items", """SELECT sha256(CAST(doc_id AS VARCHAR)) AS sha, unnest(list_concat(['file:a/x.py', 'file:b/old', 'file:b/new', concat('component:', source)],
+ list_transform(range(1, doc_id % 25 + 2), lambda i: concat('entity:e', i)))) AS item FROM documents""")
+def _(spark, d):
+    return W.commit_items(records(spark, d))
+
+
 def renames(spark, d):
     """Changes with renames and deletes: a part's path moves on at some touches and ends at others."""
     f = facts(spark, d).select("sha", "idx")

@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..operators import intervals as I
+from ..operators.prefix import dense_index
+from ..session import checkpoint_dir, checkpointed
 from ..streaming import flows
 from .registering import Collector
-from .views import cte, table
+from .views import DUCK_EPOCH, SPARK_EPOCH, cte, facts, table
 
 query = Collector()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -43,6 +45,29 @@ def _(spark, d):
     return landed.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 200).alias("failed"))
 
 
+# Commits in a line by landing position. First up to six tenths, then on to the last odd one below eight tenths; then the odd ones after seven tenths are rewritten away.
+CUTS = "(SELECT count(*) AS n FROM facts)"
+
+
+@query("x01_changed_tip", cte("facts") + f""" SELECT CASE WHEN f.idx % 2 = 0 THEN 'even' ELSE 'odd' END AS half, CAST(count(*) AS BIGINT) AS commits, CAST(sum(f.sha) AS BIGINT) AS keys, 'rewritten' AS last_walk, 3::BIGINT AS walks
+ FROM facts f, {CUTS} WHERE f.idx % 2 = 0 OR f.idx <= n * 7 // 10 OR f.idx > n * 8 // 10 GROUP BY 1""")
+def _(spark, d):
+    f = facts(spark, d).select("sha", "idx")
+    n = f.count()
+    path, _cursor = scratch(spark)
+    gone = (F.col("idx") % 2 == 1) & (F.col("idx") > n * 7 // 10) & (F.col("idx") <= n * 8 // 10)
+    states = [f.filter(F.col("idx") <= n * 6 // 10), f.filter(F.col("idx") <= (n * 8 // 10 - 1) // 2 * 2 + 1), f.filter(~gone)]
+    for now in states:
+        placed = checkpointed(dense_index(now, ["idx"], out="nth"))
+        parents = placed.join(placed.select((F.col("nth") + 1).alias("nth"), F.col("sha").alias("parent")), "nth").select("sha", "parent", F.lit(0).alias("ord"))
+        tip = now.agg(F.max_by("sha", "idx")).first()[0]
+        flows.walk_history(spark, path, checkpointed(parents), now, tip, lambda new: new.join(f, "sha"))
+    walks = flows.walks(spark, path)
+    last = walks.agg(F.max_by("kind", "walk").alias("last_walk"), F.count(F.lit(1)).alias("walks")).first()
+    rows = flows.mined(spark, path).groupBy(F.when(F.col("idx") % 2 == 0, "even").otherwise("odd").alias("half")).agg(F.count(F.lit(1)).alias("commits"), F.sum("sha").alias("keys"))
+    return rows.withColumn("last_walk", F.lit(last.last_walk)).withColumn("walks", F.lit(last.walks))
+
+
 POLLS = """SELECT user_id * 10 + event_id % 7 AS id, event_id AS seq, round(value, 2) AS value FROM events"""
 
 
@@ -60,6 +85,53 @@ def _(spark, d):
     return flows.current(spark, path, ["id"])
 
 
+@query("x02_back_fill", f"""SELECT id, max(seq) AS seq, arg_max(value, seq) AS value FROM ({POLLS}) GROUP BY id""")
+def _(spark, d):
+    polls = spark.sql(POLLS.replace("FROM events", "FROM {events}"), events=table(spark, d, "events"))
+    end = polls.agg(F.max("seq")).first()[0] + 1
+    path, cursor = scratch(spark)
+    source = f"{checkpoint_dir(spark)}/landing-{uuid.uuid4().hex}"
+    ledger = spark.createDataFrame([], "start bigint, end bigint")
+    # The poller starts in the middle, is down for a while, and then fills up what is behind it, at most half of all at a time.
+    for number, now in enumerate((end // 2, end * 9 // 10, end, end)):
+        if number < 2:
+            wanted = spark.createDataFrame([(now - end // 10, now)], "start bigint, end bigint")
+        else:
+            wanted = I.next_fetches(ledger, now, 0, end // 20, cap=end // 2).select("start", "end")
+        asked = [tuple(row) for row in wanted.collect()]
+        inside = F.lit(False)
+        for low, high in asked:
+            inside = inside | ((F.col("seq") >= low) & (F.col("seq") < high))
+        polls.filter(inside).write.mode("append").parquet(source)
+        flows.upsert_stream(flows.read_stream(spark, source, polls.schema), path, cursor, ["id"], ["seq"]).awaitTermination()
+        ledger = I.united(ledger.unionByName(spark.createDataFrame(asked, "start bigint, end bigint")))
+    return flows.current(spark, path, ["id"], ["seq"])
+
+
+SPANS = """SELECT user_id, CAST(floor({EPOCH} / 600) AS BIGINT) AS start, CAST(floor({EPOCH} / 600) AS BIGINT) + CAST(floor(value) AS BIGINT) AS "end" FROM events"""
+UNITED = f"""WITH s AS ({SPANS.replace("{EPOCH}", DUCK_EPOCH)}), r AS (SELECT *, max("end") OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s WHERE start < "end"),
+ n AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach < start THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start, "end") AS island FROM r),
+ united AS (SELECT user_id, min(start) AS start, max("end") AS "end" FROM n GROUP BY user_id, island)"""
+
+
+def spans(spark, d):
+    return spark.sql(SPANS.replace("{EPOCH}", SPARK_EPOCH).replace('"end"', "`end`").replace("FROM events", "FROM {events}"), events=table(spark, d, "events"))
+
+
+@query("x02_fetched_intervals", UNITED + ' SELECT user_id, start, "end" FROM united')
+def _(spark, d):
+    return I.united(spans(spark, d), ["user_id"])
+
+
+@query("x02_open_intervals", UNITED + """, b AS (SELECT user_id, min(start) - 5 AS low, max("end") + 7 AS high FROM united GROUP BY user_id),
+ e AS (SELECT user_id, start, "end" FROM united UNION ALL SELECT user_id, low - 1, low FROM b UNION ALL SELECT user_id, high, high + 1 FROM b),
+ g AS (SELECT user_id, "end" AS start, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS "end" FROM e) SELECT user_id, start, "end" FROM g WHERE start < "end" AND "end" IS NOT NULL""")
+def _(spark, d):
+    rows = checkpointed(spans(spark, d))
+    bounds = rows.filter("start < end").groupBy("user_id").agg((F.min("start") - 5).alias("start"), (F.max("end") + 7).alias("end"))
+    return I.open_between(rows, bounds, ["user_id"])
+
+
 @query("x02_drop_repeats", "SELECT DISTINCT event_id FROM events")
 def _(spark, d):
     path, cursor = scratch(spark)

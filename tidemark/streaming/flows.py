@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.ancestry import ancestors_of, chains, is_ancestor, reachability
 from ..operators.ledger import fresh_rows, upsert
+from ..session import checkpointed
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None, per_batch: int | None = None) -> DataFrame:
@@ -36,7 +38,9 @@ def _versions(spark: SparkSession, path: str, below: int | None = None) -> DataF
 
     try:
         parts = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
     return parts if below is None else parts.filter(F.col("v") < below)
 
@@ -53,11 +57,56 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The latest version of every key over all parts."""
+def current(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The latest version of every key over all parts: by ``order`` where given, so that back-filled parts replace nothing newer, then by part."""
     parts = spark.read.parquet(path)
     row = F.struct(*[F.col(name) for name in parts.columns if name != "v"])
-    return parts.groupBy(*keys).agg(F.max_by(row, "v").alias("_row")).select("_row.*")
+    return parts.groupBy(*keys).agg(F.max_by(row, F.struct(*order, "v")).alias("_row")).select("_row.*")
+
+
+def walk_history(spark: SparkSession, path: str, parents: DataFrame, commits: DataFrame, tip: int | str, mine: Callable[[DataFrame], DataFrame]) -> str:
+    """Bring the mined table at ``path`` up to ``tip``: ``fresh``, ``forward`` (only what is new is mined) or ``rewritten`` (all is mined again).
+
+    ``mine`` turns commits (sha) into rows. Where the last tip is no ancestor of the new one, history was rewritten and a new generation of the
+    table is mined whole. Every walk writes its own part first and its entry in the list of walks last, in one small file: readers see a walk
+    whole or not at all, and a walk that failed before its entry is written again from the same state.
+    """
+    past = walks(spark, path)
+    last = None if past is None else past.orderBy(F.desc("walk")).first()
+    number, generation, kind = 0, 0, "rewritten"
+    wanted = spark.createDataFrame([(tip,)], commits.select("sha").schema)
+    if last is not None:
+        number, generation = last["walk"] + 1, last["generation"]
+        if last["tip"] == str(tip):
+            return "fresh"
+    placed = checkpointed(chains(parents, commits))
+    index = reachability(parents, placed)
+    new = ancestors_of(wanted, placed, index).select("sha")
+    if last is not None:
+        old = spark.createDataFrame([(last["tip"],)], "sha string").select(F.col("sha").cast(commits.schema["sha"].dataType))
+        pair = old.withColumnRenamed("sha", "ancestor").withColumn("of", F.lit(tip))
+        if is_ancestor(pair, placed, index).first()["is_ancestor"]:
+            kind = "forward"
+            new = new.join(ancestors_of(old, placed, index).select("sha"), "sha", "left_anti")
+        else:
+            generation += 1
+    mine(new).write.mode("overwrite").parquet(f"{path}/rows/generation={generation}/walk={number}")
+    spark.createDataFrame([(number, generation, str(tip), kind)], "walk bigint, generation bigint, tip string, kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/walks/n={number}")
+    return kind
+
+
+def walks(spark: SparkSession, path: str) -> DataFrame | None:
+    """(walk, generation, tip, kind) of the walks that were finished; None before the first."""
+    entries = _versions(spark, f"{path}/walks")
+    return None if entries is None else entries.drop("n")
+
+
+def mined(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the table's newest generation, of finished walks only."""
+    done = walks(spark, path)
+    newest = done.agg(F.max("generation").alias("generation"))
+    live = done.join(newest, "generation").select("generation", "walk")
+    return spark.read.parquet(f"{path}/rows").join(live, ["generation", "walk"], "left_semi").drop("generation", "walk")
 
 
 def drop_repeats(stream: DataFrame, key: str, at: str, delay: str = "1 day") -> DataFrame:
