@@ -104,7 +104,7 @@ def _(spark, d):
             inside = inside | ((F.col("seq") >= low) & (F.col("seq") < high))
         polls.filter(inside).write.mode("append").parquet(source)
         flows.upsert_stream(flows.read_stream(spark, source, polls.schema), path, cursor, ["id"], ["seq"]).awaitTermination()
-        ledger = I.united(ledger.unionByName(spark.createDataFrame(asked, "start bigint, end bigint")))
+        ledger = checkpointed(I.united(ledger.unionByName(spark.createDataFrame(asked, "start bigint, end bigint"))))
     return flows.current(spark, path, ["id"], ["seq"])
 
 
