@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, doc_id, landed, lowered, read, text_keys
+from .common import NO_ID, doc_id, landed, likely, lowered, read, text_keys
 
 WIDTH = 5
 SHARE = 0.8
@@ -67,7 +67,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share
     met = landed(hashes.join(wanted, "hash").filter(admits).select(*by, "item_id").distinct(), "contained-candidates")
 
     suspects = met.select(*by).distinct()
-    again = keyed.join(suspects, list(by), "left_semi").select(*by, _words(F.col("text")).alias("words"))
+    again = likely(keyed, suspects, by).join(suspects, list(by), "left_semi").select(*by, _words(F.col("text")).alias("words"))
     texts = again.select(*by, F.explode(_every("words", width, lambda *w: F.concat_ws(" ", *w))).alias("shingle")).distinct()
     shared = texts.join(shingles, "shingle").groupBy(*by, "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     return shared.join(met, [*by, "item_id"], "left_semi").filter(F.col("n_shared") >= F.lit(share) * F.col("n") - 1e-9).select(

@@ -61,7 +61,9 @@ def source_rates(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int =
     target = F.when(F.col("at") < at, F.col("bound").cast("double")).otherwise(free)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     rates = landed(sums.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate")), "source-rates")
-    upto = running(stretches, ["source"], "stretch", {"sum": F.col("words")}, inclusive=True) if not stretches.isEmpty() else stretches.withColumn("sum", F.lit(0).cast("bigint"))
+    # Running sums are joined by key, which a null source would not survive.
+    named = stretches.select(F.col("source").isNotNull().alias("known"), F.coalesce("source", F.lit("")).alias("name"), "stretch", "words")
+    upto = running(named, ["known", "name"], "stretch", {"sum": F.col("words")}, inclusive=True).select(F.when(F.col("known"), F.col("name")).alias("source"), "stretch", "sum")
     return landed(_with_cut(rates, upto), "source-cuts")
 
 
