@@ -66,8 +66,9 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, share
     admits = (F.col("size") - width + 1) >= F.lit(share) * F.col("n") - 1e-9
     met = landed(hashes.join(wanted, "hash").filter(admits).select(*by, "item_id").distinct(), "contained-candidates")
 
+    # Suspects are distinct, so the join keeps rows as they are; a semi join would be pushed below the filter, which then filters nothing before the shuffle.
     suspects = met.select(*by).distinct()
-    again = likely(keyed, suspects, by).join(suspects, list(by), "left_semi").select(*by, _words(F.col("text")).alias("words"))
+    again = likely(keyed, suspects, by).join(suspects, list(by)).select(*by, _words(F.col("text")).alias("words"))
     texts = again.select(*by, F.explode(_every("words", width, lambda *w: F.concat_ws(" ", *w))).alias("shingle")).distinct()
     shared = texts.join(shingles, "shingle").groupBy(*by, "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     return shared.join(met, [*by, "item_id"], "left_semi").filter(F.col("n_shared") >= F.lit(share) * F.col("n") - 1e-9).select(
