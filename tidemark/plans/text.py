@@ -8,6 +8,7 @@ from ..functions import lines as N
 from ..functions import text as T
 from ..functions.paths import tree_glob
 from ..operators import diff as D
+from ..operators import globs as G
 from ..operators import intrinsic as I
 from .registering import Collector
 from .views import cte, facts, table, view
@@ -402,6 +403,28 @@ def _(spark, d):
     return I.unmapped_paths(kind_files(spark, d), RULES).groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
 
 
+MANY = [*[(f"x-{n}", f"device/acme/x-{n}/**") for n in range(1, 1001)], *[(f"unit-{n}", f"device/**/u{n}/*.ini") for n in range(5)], ("sub", "src/sub?"), ("docker", "docker-*.mk")]
+MANY_SQL = " f AS (SELECT DISTINCT sha, path FROM (" + KIND_FILES + r""")),
+ m AS (SELECT sha, path, unnest([CASE WHEN starts_with(path, 'device/acme/x-') AND CAST(regexp_extract(path, 'x-([0-9]+)/', 1) AS BIGINT) BETWEEN 1 AND 1000 THEN regexp_extract(path, 'x-[0-9]+') END,
+   CASE WHEN regexp_full_match(path, 'device/(.*/)?u[0-4]/[^/]*\.ini') THEN concat('unit-', regexp_extract(path, '/u([0-4])/', 1)) END,
+   CASE WHEN regexp_full_match(path, 'src/sub.') THEN 'sub' END, CASE WHEN regexp_full_match(path, '(.*/)?docker-[^/]*\.mk') THEN 'docker' END]) AS rule FROM f)"""
+
+
+@query("p05_glob_matches", "WITH" + MANY_SQL + " SELECT DISTINCT path, rule FROM m WHERE rule IS NOT NULL")
+def _(spark, d):
+    return G.matched(kind_files(spark, d), MANY)
+
+
+@query("p06_components_many_rules", "WITH" + MANY_SQL + " SELECT sha, rule AS component, CAST(count(*) AS BIGINT) AS path_count FROM m WHERE rule IS NOT NULL GROUP BY sha, rule")
+def _(spark, d):
+    return G.glob_components(kind_files(spark, d), MANY)
+
+
+@query("p06_unmatched_many_rules", "WITH" + MANY_SQL + " SELECT sha, path FROM m GROUP BY sha, path HAVING count(rule) = 0")
+def _(spark, d):
+    return G.unmatched(kind_files(spark, d), MANY)
+
+
 @query("p07_feature_areas", "WITH f AS (" + KIND_FILES + """), a(area, prefix) AS (SELECT concat('n', n_nationkey), concat('device/acme/x-', n_nationkey) FROM nation UNION ALL VALUES ('docs', 'docs'), ('tests', 'tests/t.py'))
  SELECT sha, area, CAST(count(DISTINCT path) AS BIGINT) AS path_count FROM f JOIN a ON path = prefix OR starts_with(path, prefix || '/') GROUP BY sha, area""")
 def _(spark, d):
