@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import PR_SUFFIX, REVERTS_SHA, number
 from ..session import checkpointed
 from .metrics import rate, upper_median
-from .splits import resolve_prefixes
+from .splits import prefix_pairs, resolve_prefixes
 
 # Fixed values.
 NESTED_REVERT = r'^Revert\s+"Revert'
@@ -105,16 +105,11 @@ def funnel_counts(rows: DataFrame, requested: int) -> DataFrame:
 def quoted_matches(commits: DataFrame, quoted: DataFrame) -> DataFrame:
     """Keys of commits whose subject a revert quotes, whole or cut short by an ellipsis.
 
-    Cut quotes join on the head of the subject, one equality per length in use. ``quoted(text)``.
+    Cut quotes join on the head of the subject (``prefix_pairs``). ``quoted(text)``.
     """
     whole = commits.join(quoted.select(F.col("text").alias("subject")), "subject", "left_semi").select("sha")
-    cut = checkpointed(quoted.filter(F.col("text").endswith("…")).select(F.expr("left(text, length(text) - 1)").alias("head")).distinct())
-    lengths = cut.agg(F.array_sort(F.collect_set(F.length("head")))).scalar()
-    heads = (
-        commits.select("sha", "subject", lengths.alias("_l")).select("sha", "subject", F.explode("_l").alias("_n"))
-        .filter(F.length("subject") >= F.col("_n")).select("sha", F.expr("left(subject, _n)").alias("head"))
-    )
-    return whole.union(heads.join(cut, "head", "left_semi").select("sha")).distinct()
+    cut = checkpointed(quoted.filter(F.col("text").endswith("…")).select(F.expr("left(text, length(text) - 1)").alias("prefix")).distinct())
+    return whole.union(prefix_pairs(commits.select("sha", "subject"), "subject", cut).select("sha")).distinct()
 
 
 def screen_controls(commits: DataFrame, reverted: DataFrame, quoted: DataFrame, paths: DataFrame, roots: Sequence[str]) -> DataFrame:

@@ -20,18 +20,11 @@ MIN_PREFIX = 7
 def resolve_prefixes(keys: DataFrame, key: str, prefixes: DataFrame, min_length: int = MIN_PREFIX) -> DataFrame:
     """Each prefix with the number of keys it starts and, if that is one, the key. Prefixes under ``min_length`` are ``too_short`` and not counted (null).
 
-    An equi-join per prefix length: keys are cut to each length in use, so no pairwise
-    ``startswith`` is needed and either side may be large.
+    No pairwise ``startswith`` is needed and either side may be large: see ``prefix_pairs``.
     """
     wanted = prefixes.select("prefix", F.length("prefix").alias("_n")).distinct()
     usable = wanted.filter(F.col("_n") >= min_length)
-    lengths = usable.agg(F.array_sort(F.collect_set("_n"))).scalar()
-    cut = (
-        keys.select(F.col(key).cast("string").alias("_key"), lengths.alias("_lengths"))
-        .select("_key", F.explode("_lengths").alias("_n")).filter(F.length("_key") >= F.col("_n"))
-        .select("_key", F.expr("left(_key, _n)").alias("prefix"))
-    )
-    found = cut.join(usable.select("prefix"), "prefix").groupBy("prefix").agg(
+    found = prefix_pairs(keys.select(F.col(key).cast("string").alias("_key")), "_key", usable).groupBy("prefix").agg(
         F.count(F.lit(1)).alias("matches"), F.min("_key").alias("_only")
     )
     return wanted.join(found, "prefix", "left").select(
@@ -40,6 +33,20 @@ def resolve_prefixes(keys: DataFrame, key: str, prefixes: DataFrame, min_length:
     )
 
 
+def prefix_pairs(keys: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
+    """``keys`` with each ``prefix`` of ``prefixes`` that its column ``key`` starts with.
+
+    Keys are shuffled once, cut to the shortest length in use. Those that meet a prefix there are then cut to each length that
+    prefixes with this head have, and joined by equality; all others are done.
+    """
+    wanted = prefixes.select("prefix", F.length("prefix").alias("_n")).distinct()
+    shortest = wanted.agg(F.min("_n")).scalar()
+    heads = wanted.withColumn("_head", F.left("prefix", shortest)).groupBy("_head").agg(F.collect_set("_n").alias("_lengths"))
+    met = keys.withColumn("_head", F.left(key, shortest)).join(heads, "_head")
+    cut = met.select(*keys.columns, F.explode("_lengths").alias("_n")).filter(F.length(key) >= F.col("_n")).withColumn("prefix", F.left(key, F.col("_n")))
+    return cut.join(wanted.select("prefix"), "prefix").select(*keys.columns, "prefix")
+
+
 def boundaries(
     facts: DataFrame, held: DataFrame | None = None, fractions: Sequence[float] = FRACTIONS, gap_days: int = GAP_DAYS
 ) -> DataFrame:

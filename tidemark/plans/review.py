@@ -95,13 +95,13 @@ def _(spark, d):
 QUOTED = INCIDENTS + """, quoted AS (SELECT regexp_extract(revert_subject, '^Revert\\s+"(.+)"', 1) AS text FROM inc WHERE link_status = 'unlinked')"""
 
 
-def quoted(spark, d):
-    return incidents(spark, d).filter("link_status = 'unlinked'").select(F.regexp_extract("revert_subject", B.QUOTED_SUBJECT, 1).alias("text"))
+def quoted(inc):
+    return inc.filter("link_status = 'unlinked'").select(F.regexp_extract("revert_subject", B.QUOTED_SUBJECT, 1).alias("text"))
 
 
 @query("j29_quoted_subjects", QUOTED + """ SELECT DISTINCT s.sha FROM story s JOIN quoted q ON q.text = s.subject OR (q.text LIKE '%…' AND starts_with(s.subject, left(q.text, length(q.text) - 1)))""")
 def _(spark, d):
-    return B.quoted_matches(story(spark, d), quoted(spark, d))
+    return B.quoted_matches(story(spark, d), quoted(incidents(spark, d)))
 
 
 SCREEN = QUOTED + """, hit AS (SELECT DISTINCT s.sha FROM story s JOIN quoted q ON q.text = s.subject OR (q.text LIKE '%…' AND starts_with(s.subject, left(q.text, length(q.text) - 1)))),
@@ -113,7 +113,7 @@ def screened(spark, d):
     s, inc = story(spark, d), incidents(spark, d)
     paths = view(spark, d, "changes").withColumnRenamed("sha", "k").join(s.select("k", "sha"), "k").select("sha", "path")
     reverted = inc.filter("reverted_sha is not null").select(F.col("reverted_sha").alias("sha"))
-    return B.screen_controls(s, reverted, quoted(spark, d), paths, ["p/1/", "p/2/"])
+    return B.screen_controls(s, reverted, quoted(inc), paths, ["p/1/", "p/2/"])
 
 
 @query("p21_control_screen", SCREEN + " SELECT sha, screen FROM screened")
