@@ -190,19 +190,25 @@ def poisson_weight(size: str, draws: Sequence[str]) -> str:
     return f"CAST(CASE WHEN {size} < {EXACT_DRAWS} THEN {exact} ELSE {large} END AS BIGINT)"
 
 
-def bootstrap(df: DataFrame, samples: int = 1000, seed: int = 0, tie: str = "row_id") -> DataFrame:
+def bootstrap(df: DataFrame, samples: int = 1000, seed: int = 0, tie: str = "row_id", by_cell: bool = False) -> DataFrame:
     """Percentile intervals of the ranking metrics and the Brier score over resampled rows.
 
-    A sample takes each row Poisson(1) times, which stands for drawing n of n rows with replacement. Rows with one score and
-    outcome cannot be told apart, and the sum of their counts is Poisson with their number as its mean: so each (sample, distinct score,
-    outcome) draws once, from a hash of seed, sample and the smallest ``tie`` of the cell. The work is that of the distinct scores, not of the rows,
-    and the draws need neither an order nor a join. Rows without a score or an outcome take no part.
+    Each sample takes each row Poisson(1) times, drawn from a hash of seed, sample and ``tie``; this stands for drawing n of n rows
+    with replacement and needs neither an order nor a join. Rows add up to one weight per sample, score and outcome before anything is
+    shuffled. With ``by_cell`` each (sample, distinct score, outcome) draws once instead, Poisson with its rows as the mean, from the smallest
+    ``tie`` of the cell: other draws of the same distribution, rounded from ``EXACT_DRAWS`` rows on. Rows without a score or an outcome take no part.
     """
-    cells = df.filter("score is not null and y is not null").groupBy("y", "score").agg(F.count(F.lit(1)).alias("_c"), F.min(tie).alias("_tie"))
+    known = df.filter("score is not null and y is not null")
+    cells = known.groupBy("y", "score").agg(F.count(F.lit(1)).alias("_c"), F.min(tie).alias("_tie")) if by_cell else known.select("y", "score", F.col(tie).alias("_tie"))
     hashed = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), "b", "_tie")))
-    draws = ["_u0", "_u1", "_u2", "_u3"]
-    parts = [F.conv(F.substring("_h", 8 * at + 1, 8), 16, 10).cast("bigint").alias(name) for at, name in enumerate(draws)]
-    drawn = hashed.select("b", "y", "score", "_c", *parts).select("b", "y", "score", F.expr(poisson_weight("_c", draws)).alias("_w")).filter("_w > 0")
+    part = lambda at: F.conv(F.substring("_h", 8 * at + 1, 8), 16, 10).cast("bigint")
+    if by_cell:
+        draws = ["_u0", "_u1", "_u2", "_u3"]
+        drawn = hashed.select("b", "y", "score", "_c", *[part(at).alias(name) for at, name in enumerate(draws)]).select(
+            "b", "y", "score", F.expr(poisson_weight("_c", draws)).alias("_w")).filter("_w > 0")
+    else:
+        drawn = hashed.select("b", "y", "score", part(0).alias("_u")).select("b", "y", "score", F.expr(poisson_count("_u")).alias("_w")).filter(
+            "_w > 0").groupBy("b", "y", "score").agg(F.sum("_w").alias("_w"))
     error = drawn.groupBy("b").agg(
         (F.sum(F.col("_w") * F.pow(F.col("score") - F.col("y"), F.lit(2.0))) / F.sum("_w")).alias("brier")
     )

@@ -86,11 +86,14 @@ def _(spark, d):
     return counts.select("source", *M.rate(F.col("k"), F.col("n"), "bad"))
 
 
-def bootstrap_sql(source):
+def bootstrap_sql(source, by_cell=False):
     parts = ", ".join(f"('0x' || substr(h, {8 * at + 1}, 8))::BIGINT AS u{at}" for at in range(4))
-    return f""" atoms AS (SELECT y, score, count(*) AS c, min(row_id) AS tie FROM {source} GROUP BY y, score),
+    draws = f""" atoms AS (SELECT y, score, count(*) AS c, min(row_id) AS tie FROM {source} GROUP BY y, score),
  draws AS (SELECT b, y, score, c, {parts} FROM (SELECT *, md5(concat('7:', b, ':', tie)) AS h FROM atoms, range(0, 1000) AS r(b))),
- drawn AS (SELECT b, y, score, w FROM (SELECT b, y, score, {M.poisson_weight("c", ["u0", "u1", "u2", "u3"])} AS w FROM draws) WHERE w > 0),""" + ranking_sql("drawn", "b", "w") + """,
+ drawn AS (SELECT b, y, score, w FROM (SELECT b, y, score, {M.poisson_weight("c", ["u0", "u1", "u2", "u3"])} AS w FROM draws) WHERE w > 0),""" if by_cell else f"""
+ draws AS (SELECT b, y, score, ('0x' || substr(md5(concat('7:', b, ':', row_id)), 1, 8))::BIGINT AS u FROM {source}, range(0, 1000) AS r(b)),
+ drawn AS (SELECT b, y, score, w FROM (SELECT b, y, score, {M.poisson_count("u")} AS w FROM draws) WHERE w > 0),"""
+    return draws + ranking_sql("drawn", "b", "w") + """,
  vals AS (SELECT 'pr_auc' AS metric, round(ap, 12) AS value FROM ranked UNION ALL SELECT 'roc_auc', round(auc, 12) FROM ranked
    UNION ALL SELECT 'brier', sum(w * pow(score - y, 2)) / sum(w) FROM drawn GROUP BY b)
  SELECT metric, CAST(count(value) AS BIGINT) AS samples, round(quantile_cont(value, 0.025), 6) AS ci_low,
@@ -103,9 +106,9 @@ def _(spark, d):
 
 
 # Scores to two digits: many rows in a cell, as after calibration.
-@query("a18_bootstrap_few_scores", cte("scored") + ", coarse AS (SELECT row_id, y, round(score, 2) AS score FROM scored)," + bootstrap_sql("coarse"))
+@query("a18_bootstrap_few_scores", cte("scored") + ", coarse AS (SELECT row_id, y, round(score, 2) AS score FROM scored)," + bootstrap_sql("coarse", by_cell=True))
 def _(spark, d):
-    return M.bootstrap(rows(spark, d).withColumn("score", F.round("score", 2)), seed=7)
+    return M.bootstrap(rows(spark, d).withColumn("score", F.round("score", 2)), seed=7, by_cell=True)
 
 
 PRED = "CASE WHEN score >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END"
