@@ -28,7 +28,8 @@ def identify(paths: DataFrame, markers: DataFrame) -> DataFrame:
     ``markers(adapter, grp, marker)``: relational division; more than one answer means the tree is
     ambiguous.
     """
-    known = paths.select(F.explode(ancestors(F.col("path"))).alias("marker")).distinct()
+    # Only directories that are asked for are told apart.
+    known = paths.select(F.explode(ancestors(F.col("path"))).alias("marker")).join(markers.select("marker").distinct(), "marker", "left_semi").distinct()
     need = markers.groupBy("adapter", "grp").agg(F.count_distinct("marker").alias("_need"))
     have = markers.distinct().join(known, "marker", "left_semi").groupBy("adapter", "grp").agg(F.count(F.lit(1)).alias("_have"))
     return have.join(need, ["adapter", "grp"]).filter("_have = _need").select("adapter").distinct()
@@ -232,13 +233,15 @@ def hotspots(
 ) -> DataFrame:
     """The ``limit`` highest-scored paths with the four components of each score.
 
-    ``files(scope.., path, rank)``, ``reached(scope.., path, id)``, ``result(scope.., id, status)``.
+    ``files(scope.., path, rank)``, ``reached(scope.., path, id)``, ``result(scope.., id, status)``. Where what a path reaches is the same in
+    every scope, ``reached`` and ``result`` come without the scope and have a row per path, not one per change of it.
     """
-    fan = reached.join(result.select(*scope, "id", "status"), [*scope, "id"]).groupBy(*scope, "path").agg(
+    by = [name for name in scope if name in reached.columns]
+    fan = reached.join(result.select(*by, "id", "status"), [*by, "id"]).groupBy(*by, "path").agg(
         F.count(F.lit(1)).alias("fanout"), F.count_if(F.col("status") == "uncovered").alias("_u"),
         F.count_if(F.col("status") == "ambiguous").alias("_a"),
     )
-    row = files.join(fan, [*scope, "path"], "left").na.fill(0, ["fanout", "_u", "_a"])
+    row = files.join(fan, [*by, "path"], "left").na.fill(0, ["fanout", "_u", "_a"])
     part = {
         "path_class": WEIGHT_PATH_CLASS * class_weight(F.col("rank"), class_count),
         "entity_fanout": WEIGHT_ENTITY_FANOUT * fanout_weight(F.col("fanout")),
