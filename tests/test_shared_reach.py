@@ -31,3 +31,14 @@ def test_identify_on_a_tree_with_witnesses_equals_the_whole_tree(spark):
     assert small.count() < whole.count()
     names = lambda frame: sorted(r[0] for r in V.identify(frame, markers).collect())
     assert names(small) == names(whole) == ["a", "b", "c", "e"]
+
+
+def test_paths_climb_once_and_only_to_depths_with_roots(spark):
+    paths = spark.createDataFrame([(r, f"d/v{k % 3}/e{k}/f") for r in range(5) for k in range(7)] + [(9, "d/v0"), (9, "d"), (9, None), (9, "d/v0")], "rev int, path string")
+    roots = spark.createDataFrame([("d/v0", "a"), ("d/v1/e1", "b"), ("d/v0/e3", "c"), ("x", "e")], "up string, id string")
+    got = sorted(map(tuple, V.under(paths, roots, ["rev"], []).collect()))
+    brute = {(p["rev"], p["path"], r["id"]) for p in paths.collect() if p["path"] for r in roots.collect() if p["path"] == r["up"] or p["path"].startswith(r["up"] + "/")}
+    assert got == sorted(brute)
+    deep = roots.filter("up <> 'x'")
+    entities = deep.withColumnRenamed("up", "directory")
+    assert sorted(map(tuple, V.owning(paths, entities, ["rev"]).select("rev", "path", "id").collect())) == sorted(brute)
