@@ -3,7 +3,7 @@
 A commit continues the chain of its first parent if it is that parent's smallest such child; otherwise it opens a chain. A commit that
 reaches place p of a chain reaches all places below, so one row (commit, chain, highest place) stands for any number of ancestors: the
 index has as many rows as commits times the chains they reach, where the closure has one per pair of commits. Both are built by doubling, in as many
-rounds as the binary logarithm of the longest chain, or of the changes of chain on the longest way, each round checkpointed.
+rounds as the binary logarithm of the longest chain, or of the changes of chain on the longest way, each round written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import written
 from .prefix import running
 
 ROUNDS = 64
@@ -26,10 +26,10 @@ def chains(parents: DataFrame, commits: DataFrame) -> DataFrame:
     first = parents.filter("ord = 0").join(known, "sha", "left_semi").join(known.withColumnRenamed("sha", "parent"), "parent", "left_semi")
     chosen = first.groupBy("parent").agg(F.min("sha").alias("sha"))
     # (sha, low, steps): ``low`` lies so many steps down the chain of ``sha``; ``low`` doubles its distance each round.
-    state = checkpointed(known.join(chosen, "sha", "left").select("sha", F.coalesce("parent", "sha").alias("low"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps")))
+    state = written(known.join(chosen, "sha", "left").select("sha", F.coalesce("parent", "sha").alias("low"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps")))
     for _ in range(ROUNDS):
         below = state.select(F.col("sha").alias("low"), F.col("low").alias("lower"), F.col("steps").alias("more"))
-        jumped = checkpointed(state.join(below, "low").select("sha", F.col("lower").alias("low"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")))
+        jumped = written(state.join(below, "low").select("sha", F.col("lower").alias("low"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")))
         state = jumped.drop("moved")
         if jumped.filter("moved").isEmpty():
             return state.select("sha", F.col("low").alias("chain"), F.col("steps").alias("place"))
@@ -37,35 +37,51 @@ def chains(parents: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def reachability(parents: DataFrame, placed: DataFrame, first_only: bool = False) -> DataFrame:
-    """(sha, chain, place): the highest place of every chain that a commit reaches, its own included; a checkpointed table.
+    """(sha, chain, place): the highest place of every chain that a commit reaches, its own included; a written table.
 
-    ``placed`` is that of ``chains``. With ``first_only`` only first parents are followed. What a commit reaches, all above it on its chain
-    reach too: a running maximum along each chain says so every round, and then the commit at a highest place stands for all below it.
-    A round doubles the changes of chain that are seen.
+    ``placed`` is that of ``chains``. With ``first_only`` only first parents are followed. Rounds run over the few commits that leave their
+    chain, its doors: a commit reaches what the highest door at or below it on its chain reaches. A round doubles the changes of chain
+    that are seen; only then the other commits take over what their door reaches.
     """
     edges = parents.filter("ord = 0") if first_only else parents
-    here = checkpointed(placed.select("sha", F.col("chain").alias("own"), F.col("place").alias("at")))
+    own = placed.select("sha", F.col("chain").alias("own"), F.col("place").alias("at"))
     target = placed.select(F.col("sha").alias("parent"), "chain", "place")
-    direct = edges.join(target, "parent").join(here.select("sha"), "sha", "left_semi").select("sha", "chain", "place")
-    index = _along(here, placed.select("sha", "chain", "place").unionByName(direct))
-    places = here.select(F.col("sha").alias("_sha"), F.col("own").alias("chain"), F.col("at").alias("place"))
+    direct = written(edges.join(target, "parent").join(own, "sha").filter("chain <> own").groupBy("sha", "own", "at", "chain").agg(F.max("place").alias("place")))
+    here = written(direct.select("sha", "own", "at").distinct())
+    # Each place that an edge leads to, with the highest door at or below it.
+    probes = (
+        here.select(F.col("own").alias("chain"), F.col("at").alias("place"), F.col("at").alias("_door"))
+        .unionByName(direct.select("chain", "place", F.lit(None).cast("bigint").alias("_door"))).groupBy("chain", "place").agg(F.max("_door").alias("_door"))
+    )
+    under = running(probes, ["chain"], "place", maxes={"_at": F.col("_door")}, inclusive=True).filter("_at is not null")
+    doors = written(under.join(here.select(F.col("sha").alias("_sha"), F.col("own").alias("chain"), F.col("at").alias("_at")), ["chain", "_at"]).select("chain", "place", "_sha"))
+    index = _along(here, direct.select("sha", "chain", "place"))
     size = _weight(index)
     for _ in range(ROUNDS):
-        onward = index.join(places, ["chain", "place"]).select("sha", "_sha").join(index.withColumnRenamed("sha", "_sha"), "_sha").select("sha", "chain", "place")
-        index = _along(here, onward)
+        onward = index.join(doors, ["chain", "place"]).select("sha", "_sha").join(index.withColumnRenamed("sha", "_sha"), "_sha").select("sha", "chain", "place")
+        index = _along(here, index.unionByName(onward))
         now = _weight(index)
         if now == size:
-            return index
+            break
         size = now
-    raise RuntimeError(f"the index is not complete after {ROUNDS} rounds")
+    else:
+        raise RuntimeError(f"the index is not complete after {ROUNDS} rounds")
+    # Doors also reach their own chain by detours, never above themselves.
+    inner = placed.select("sha", "chain", "place")
+    return written(_spread(own, index.join(here, "sha").filter("chain <> own").select("sha", "own", "at", "chain", "place")).unionByName(inner))
 
 
 def _along(here: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` (sha, chain, place) with what lower commits of the same chain found, one row per commit and chain reached."""
-    best = checkpointed(found.groupBy("sha", "chain").agg(F.max("place").alias("place")).join(here, "sha"))
+    best = written(found.groupBy("sha", "chain").agg(F.max("place").alias("place")).join(here, "sha"))
+    return written(_spread(here, best))
+
+
+def _spread(here: DataFrame, best: DataFrame) -> DataFrame:
+    """Each commit of ``here(sha, own, at)`` with the highest places that ``best(sha, own, at, chain, place)`` has at or below it on its own chain."""
     wide = here.join(best.select("own", "chain").distinct(), "own").join(best.select("sha", "chain", "place"), ["sha", "chain"], "left")
     top = running(wide.select("sha", "own", "chain", "at", "place"), ["own", "chain"], "at", maxes={"top": F.col("place")}, inclusive=True)
-    return checkpointed(top.filter("top is not null").select("sha", "chain", F.col("top").alias("place")))
+    return top.filter("top is not null").select("sha", "chain", F.col("top").alias("place"))
 
 
 def _weight(index: DataFrame) -> tuple:
@@ -116,7 +132,7 @@ def first_parent_walk(tips: DataFrame, parents: DataFrame, placed: DataFrame, ti
 
 def is_fast_forward(old_tip: DataFrame, new_tip: DataFrame, parents: DataFrame, commits: DataFrame) -> bool:
     """Whether the one commit of ``old_tip(sha)`` is an ancestor of that of ``new_tip(sha)``; a commit that is gone is not."""
-    placed = checkpointed(chains(parents, commits))
+    placed = written(chains(parents, commits))
     pair = old_tip.select(F.col("sha").alias("ancestor"), F.lit(0).alias("_")).join(new_tip.select(F.col("sha").alias("of"), F.lit(0).alias("_")), "_").drop("_")
     row = is_ancestor(pair, placed, reachability(parents, placed)).first()
     return bool(row and row["is_ancestor"])
