@@ -18,7 +18,7 @@ MIN_PREFIX = 7
 
 
 def resolve_prefixes(keys: DataFrame, key: str, prefixes: DataFrame, min_length: int = MIN_PREFIX) -> DataFrame:
-    """Each prefix with the number of keys it starts and, if that is one, the key. Prefixes under ``min_length`` are ``too_short`` and not counted (null).
+    """Each prefix with the number of keys it starts and, if that is one, the key. Prefixes under ``min_length`` are ``too_short``: they resolve to nothing, with 0 matches.
 
     No pairwise ``startswith`` is needed and either side may be large: see ``prefix_pairs``.
     """
@@ -28,7 +28,7 @@ def resolve_prefixes(keys: DataFrame, key: str, prefixes: DataFrame, min_length:
         F.count(F.lit(1)).alias("matches"), F.min("_key").alias("_only")
     )
     return wanted.join(found, "prefix", "left").select(
-        "prefix", F.when(F.col("_n") >= min_length, F.coalesce("matches", F.lit(0))).cast("bigint").alias("matches"),
+        "prefix", F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"),
         F.when(F.col("matches") == 1, F.col("_only")).alias("key"), (F.col("_n") < min_length).alias("too_short"),
     )
 
