@@ -59,11 +59,14 @@ def revert_stats(commits: DataFrame) -> DataFrame:
 
 def is_meaningful_line(text: Column) -> Column:
     """False for blank, bracket-only and comment lines."""
-    stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
-    comment = stripped == "#"
-    for prefix in COMMENT_PREFIXES:
-        comment = comment | stripped.startswith(prefix)
-    return ~(stripped.rlike(TRIVIAL_LINE) | comment)
+    def meaningful(stripped: Column) -> Column:
+        comment = stripped == "#"
+        for prefix in COMMENT_PREFIXES:
+            comment = comment | stripped.startswith(prefix)
+        return ~(stripped.rlike(TRIVIAL_LINE) | comment)
+
+    # An array of one: a filter splits the tests and would strip the line anew for each.
+    return F.forall(F.array(F.regexp_replace(text, r"^\s+|\s+$", "")), meaningful)
 
 
 def blame_targets(files: DataFrame, classes: tuple[str, ...]) -> DataFrame:
@@ -90,16 +93,15 @@ def attribute_bugs(
     ``fixes(idx, parent)`` are fix-like commits with a parent, ``targets(idx, path, range_start,
     range_end)`` the lines each removed, ``line_origin(parent, path, line, origin_sha, text)`` who wrote
     the lines of the parent tree. ``deleted`` is the number of lines that the fix removed; with ``max_deleted``
-    fixes over it are left out (the usual bound is 1,000).
+    fixes over it are left out (the usual bound is 1,000). The line table travels once, so pass no more of it than the parent trees of fixes.
     """
     width = F.col("range_end") - F.col("range_start") + 1
+    targets = targets.join(fixes.select("idx"), "idx", "left_semi")
     deleted = targets.groupBy("idx").agg(F.sum(width).cast("bigint").alias("deleted"))
     sized = targets.join(fixes, "idx").join(deleted, "idx")
     if max_deleted is not None:
         sized = sized.filter(F.col("deleted") <= max_deleted)
     lines = sized.select(F.col("idx").alias("fix"), "parent", "path", "deleted", F.explode(F.sequence("range_start", "range_end")).alias("line"))
-    # Only the parent trees of fixes are looked at; the rest of the line table does not travel.
-    line_origin = line_origin.join(sized.select("parent", "path").distinct(), ["parent", "path"], "left_semi")
     written = line_origin.filter(is_meaningful_line(F.col("text"))).select("parent", "path", "line", "origin_sha")
     return (
         lines.join(written, ["parent", "path", "line"])

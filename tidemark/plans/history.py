@@ -9,7 +9,7 @@ from ..operators import labels as L
 from ..operators import splits as S
 from ..operators.prefix import dense_index
 from .registering import Collector
-from .views import commits, cte, facts, table, view, with_areas
+from .views import commits, cte, facts, table, view, view_of, with_areas
 
 query = Collector()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -83,8 +83,9 @@ AWARE_CTES = LABEL_CTES + "," + SPLIT_CTES + """,
 def bug_pairs(spark, d, f):
     """The blamed pairs of the derived commits; the parent tree of a fix carries the fix's key."""
     fixes = f.filter("fix_like and not is_merge").select("idx", F.col("sha").alias("parent"))
-    targets = view(spark, d, "targets").join(f.select("sha", "idx"), "sha").drop("sha")
-    return L.attribute_bugs(fixes, targets, view(spark, d, "line_origin"), f)
+    keys = fixes.withColumnRenamed("parent", "sha")
+    targets = view_of(spark, d, "targets", keys).join(keys, "sha").drop("sha")
+    return L.attribute_bugs(fixes, targets, view_of(spark, d, "line_origin", keys), f)
 
 
 def labels_of(spark, d, f):
