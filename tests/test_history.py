@@ -139,3 +139,18 @@ def test_merge_bases_and_ancestors(spark):
     assert {row["sha"] for row in chain.collect()} == {0, 1, 2, 3}
     pairs = spark.createDataFrame([(2, 5)], "left int, right int")
     assert N.merge_bases(reach.withColumn("idx", F.col("sha")), pairs).first()["base"] == 1
+
+
+def test_lookahead_lists_every_excess_row_and_computes_each_table_once(spark):
+    f = spark.range(6).selectExpr("id AS idx")
+    seen = []
+
+    def compute(part):
+        last = part.agg(F.max("idx")).first()[0]
+        seen.append(last)
+        many = spark.range(2).selectExpr("id AS copy")
+        return part.join(many, F.lit(True)).selectExpr("idx", f"CASE WHEN idx = 1 THEN {last} ELSE NULL END AS v")
+
+    got = lookahead_problems(compute, f, 3)
+    assert sorted(tuple(row) for row in got.collect()) == [(1, 3), (1, 3), (1, 5), (1, 5)] and seen == [5, 3]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6") == 2
