@@ -154,3 +154,11 @@ def test_lookahead_lists_every_excess_row_and_computes_each_table_once(spark):
     got = lookahead_problems(compute, f, 3)
     assert sorted(tuple(row) for row in got.collect()) == [(1, 3), (1, 3), (1, 5), (1, 5)] and seen == [5, 3]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6") == 2
+
+
+def test_lineages_without_readings_are_the_same(spark):
+    rows = [(0, 0, "M", "a", "a"), (1, 0, "R", "a", "b"), (2, 0, "D", "b", "b"), (3, 0, "A", None, "a"), (3, 1, "R", "a", "c"), (4, 0, "M", "c", "c")]
+    changes = spark.createDataFrame(rows, "idx bigint, seq bigint, status string, old_path string, new_path string")
+    both = [N.lineages(changes, width=2, reading=reading) for reading in (True, False)]
+    assert both[1][1] is None and both[0][1].count() == 5
+    assert sorted(both[0][0].collect()) == sorted(both[1][0].collect())
